@@ -1,0 +1,30 @@
+"""Patch-index queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def patch_index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan, join, bucket by fraction, hash split by patient, count: what a patch index reports about itself."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_discount")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("1337:"), F.col("o_custkey").cast("string"))), 1, 8), 16, 10).cast("bigint") % 100
+    split = F.when(h < 70, "train").when(h < 85, "val").otherwise("test")
+    bucket = F.when(F.col("l_discount") > 0.05, "tumor").when(F.col("l_discount") > 0, "boundary").otherwise("normal")
+    d = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
+    return d.groupBy(split.alias("split"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_patches"), F.countDistinct("l_orderkey").alias("n_slides"))
+
+
+QUERIES = {"patch_index_summary": patch_index_summary}
+ORACLES = {
+    "patch_index_summary": """
+WITH p AS (SELECT l_orderkey, l_discount, ('0x' || substr(md5('1337:' || o_custkey), 1, 8))::BIGINT % 100 AS h
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE 'test' END AS split,
+       CASE WHEN l_discount > 0.05 THEN 'tumor' WHEN l_discount > 0 THEN 'boundary' ELSE 'normal' END AS bucket,
+       count(*) AS n_patches, count(DISTINCT l_orderkey) AS n_slides
+FROM p GROUP BY 1, 2
+"""
+}
