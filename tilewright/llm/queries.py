@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, quoting, warc
+from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, quoting, substring_dedup, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -49,5 +53,5 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quote_links, op3_line_dedup, op4_byte_bpe, op6_license_scan, op7_quality_rules, op9_source_mix, op10_warc_bundles)}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_quote_links": quoting.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op10_warc_bundles": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quote_links, op3_line_dedup, op4_byte_bpe, op5_substring_dedup, op6_license_scan, op7_quality_rules, op9_source_mix, op10_warc_bundles)}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_quote_links": quoting.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op10_warc_bundles": warc.ORACLE}
