@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, line_dedup, mixing, quality, quoting, substring_dedup, warc
+from . import bpe, exact_dedup, jaccard, license_scan, line_dedup, mixing, quality, quoting, substring_dedup, warc
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lost_words").cast("long"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,5 +57,5 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quote_links, op3_line_dedup, op4_byte_bpe, op5_substring_dedup, op6_license_scan, op7_quality_rules, op9_source_mix, op10_warc_bundles)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quote_links, op3_line_dedup, op4_byte_bpe, op5_substring_dedup, op6_license_scan, op7_quality_rules, op8_jaccard_join, op9_source_mix, op10_warc_bundles)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_quote_links": quoting.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op10_warc_bundles": warc.ORACLE}
