@@ -1,8 +1,6 @@
-"""The registry of queries: name -> (Spark query, DuckDB SQL)."""
+"""All queries of the engine."""
 
 from __future__ import annotations
 
-from .plans import index
-
-QUERIES = dict(index.QUERIES)
-ORACLES = dict(index.ORACLES)
+from .plans import evaluation, gates, grids, media, rasters, relational, scalars  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
