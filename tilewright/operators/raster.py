@@ -196,11 +196,11 @@ def otsu(values: DataFrame, keys: list[str], value: str, floor: int, min_ratio:
     h = values.groupBy(*keys, F.col(value).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     upto, every = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
     h = h.withColumn("c", F.sum("n").over(upto)).withColumn("s", F.sum(F.col("v") * F.col("n")).over(upto))
-    h = h.withColumn("N", F.sum("n").over(every)).withColumn("S", F.sum(F.col("v") * F.col("n")).over(every)).withColumn("Q", F.sum(F.col("v") * F.col("v") * F.col("n")).over(every))
-    w0, w1 = F.col("c") / F.col("N"), 1 - F.col("c") / F.col("N")
-    gap = F.col("s") / F.col("c") - (F.col("S") - F.col("s")) / (F.col("N") - F.col("c"))
-    var = F.col("Q") / F.col("N") - F.pow(F.col("S") / F.col("N"), F.lit(2.0))
-    between = F.when(F.col("c") < F.col("N"), F.round(w0 * w1 * gap * gap, 9)).otherwise(0.0)
+    h = h.withColumn("all_n", F.sum("n").over(every)).withColumn("all_s", F.sum(F.col("v") * F.col("n")).over(every)).withColumn("all_q", F.sum(F.col("v") * F.col("v") * F.col("n")).over(every))
+    w0, w1 = F.col("c") / F.col("all_n"), 1 - F.col("c") / F.col("all_n")
+    gap = F.col("s") / F.col("c") - (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("c"))
+    var = F.col("all_q") / F.col("all_n") - F.pow(F.col("all_s") / F.col("all_n"), F.lit(2.0))
+    between = F.when(F.col("c") < F.col("all_n"), F.round(w0 * w1 * gap * gap, 9)).otherwise(0.0)
     h = h.withColumn("b", between).withColumn("var", var)
     d = h.groupBy(*keys).agg(F.max_by("v", F.struct("b", -F.col("v"))).alias("otsu"), F.max("b").alias("b"), F.max("var").alias("var"))
     ratio = F.when(F.col("var") > 1e-9, F.col("b") / F.col("var")).otherwise(0.0)
