@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from ..operators import geometry, metrics
 from ..registry import query
 
-N = F.count(F.lit(1))
+
+def N():
+    """Rows."""
+    return F.count(F.lit(1))
+
+
 SCORED = "s AS (SELECT documents.doc_id, n_chars / 20000.0::DOUBLE AS score, quality = 1 AS y FROM labels JOIN documents ON labels.doc_id = documents.doc_id WHERE quality IS NOT NULL)"
 
 
@@ -56,7 +61,7 @@ def _(t):
     j = side("view", "x").join(side("click", "y"), ["slide", "h"], "outer")
     x, y = F.coalesce("x", F.lit(False)), F.coalesce("y", F.lit(False))
     both, one = F.count_if(x & y), F.lit(1)
-    return j.groupBy("slide").agg(F.round(both / F.greatest(N, one), 6).alias("iou"), F.round(2.0 * both / F.greatest(F.count_if(x) + F.count_if(y), one), 6).alias("dice"), F.round(both / F.greatest(F.count_if(y), one), 6).alias("recall"))
+    return j.groupBy("slide").agg(F.round(both / F.greatest(N(), one), 6).alias("iou"), F.round(2.0 * both / F.greatest(F.count_if(x) + F.count_if(y), one), 6).alias("dice"), F.round(both / F.greatest(F.count_if(y), one), 6).alias("recall"))
 
 
 @query("A17_A24_slide_scores", """
@@ -167,7 +172,7 @@ a AS (SELECT count(*) AS dets, max(tp) AS tp, max(fp) AS fp FROM f)
 SELECT dets, tp, fp, round((SELECT avg(x) FROM s), 6) AS froc FROM a""")
 def _(t):
     c = _curve(t)
-    a = c.agg(N.alias("dets"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
+    a = c.agg(N().alias("dets"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
     return a.crossJoin(F.broadcast(metrics.sensitivity_at(c).agg(F.round(F.avg("sensitivity"), 6).alias("froc"))))  # one row each
 
 
@@ -225,4 +230,4 @@ def _(t):
     poly = lambda e, h: F.struct(e.alias("exterior"), (F.array(h) if h is not None else F.array().cast("array<array<struct<x:double,y:double>>>")).alias("holes"))
     tumor = t.supplier.select("s_suppkey", poly(box(F.lit(2.0), F.lit(3.0), F.lit(2.0) + w, F.lit(13.0)), box(*lit(5, 5, 8, 9))).alias("polygon"))
     excl = t.supplier.select("s_suppkey", poly(box(*lit(4, 10, 6, 12)), None).alias("polygon"))
-    return geometry.combined(tumor, excl, ["s_suppkey"], F.lit(40), F.lit(40)).groupBy("s_suppkey").agg(N.alias("pixels"))
+    return geometry.combined(tumor, excl, ["s_suppkey"], F.lit(40), F.lit(40)).groupBy("s_suppkey").agg(N().alias("pixels"))

@@ -8,7 +8,10 @@ from ..operators import quality, splits
 from ..registry import query
 from .relational import PATCH_SQL, patches
 
-N = F.count(F.lit(1))
+
+def N():
+    """Rows."""
+    return F.count(F.lit(1))
 
 
 @query("Q1_split_problems", f"""
@@ -40,29 +43,29 @@ SELECT split, count(*) AS slides, round(quantile_cont(captured, 0.1), 6) AS q10,
 def _(t):
     s = patches(t).groupBy("split", "slide_id").agg(F.round(F.sum("tumor_frac"), 9).alias("captured"))
     q = lambda p: F.round(F.percentile("captured", F.lit(p)), 6)
-    return s.groupBy("split").agg(N.alias("slides"), q(0.1).alias("q10"), q(0.5).alias("median"), F.count_if(F.col("captured") < F.lit(0.0799999)).alias("poor"))
+    return s.groupBy("split").agg(N().alias("slides"), q(0.1).alias("q10"), q(0.5).alias("median"), F.count_if(F.col("captured") < F.lit(0.0799999)).alias("poor"))
 
 
 @query("Q7_cohort_probe", """
-SELECT c_mktsegment AS vendor, count(*) AS n, count(DISTINCT c_nationkey) AS sites, count(*) FILTER (c_acctbal <= 0) AS no_scale, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1""")
+SELECT c_mktsegment AS vendor, count(*) AS n, count(DISTINCT c_nationkey) AS sites, count(*) FILTER (c_acctbal <= 0) AS no_scale, round(avg(c_acctbal), 8) AS mean FROM customer GROUP BY 1""")
 def _(t):
-    return t.customer.groupBy(F.col("c_mktsegment").alias("vendor")).agg(N.alias("n"), F.countDistinct("c_nationkey").alias("sites"), F.count_if(F.col("c_acctbal") <= 0).alias("no_scale"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+    return t.customer.groupBy(F.col("c_mktsegment").alias("vendor")).agg(N().alias("n"), F.countDistinct("c_nationkey").alias("sites"), F.count_if(F.col("c_acctbal") <= 0).alias("no_scale"), F.round(F.avg("c_acctbal"), 8).alias("mean"))
 
 
 @query("Q8_tissue_review", """
 WITH r AS (SELECT s_nationkey AS vendor, s_suppkey, greatest(0, least(1, s_acctbal / 10000.0::DOUBLE)) AS iou FROM supplier)
-SELECT vendor, count(*) AS n, round(avg(iou), 6) AS mean, round(min(iou), 6) AS worst, count(*) FILTER (iou < 0.2) AS suspect FROM r GROUP BY 1""")
+SELECT vendor, count(*) AS n, round(avg(iou), 9) AS mean, round(min(iou), 6) AS worst, count(*) FILTER (iou < 0.2) AS suspect FROM r GROUP BY 1""")
 def _(t):
     iou = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s_acctbal") / 10000.0))
     r = t.supplier.select(F.col("s_nationkey").alias("vendor"), iou.alias("iou"))
-    return r.groupBy("vendor").agg(N.alias("n"), F.round(F.avg("iou"), 6).alias("mean"), F.round(F.min("iou"), 6).alias("worst"), F.count_if(F.col("iou") < 0.2).alias("suspect"))
+    return r.groupBy("vendor").agg(N().alias("n"), F.round(F.avg("iou"), 9).alias("mean"), F.round(F.min("iou"), 6).alias("worst"), F.count_if(F.col("iou") < 0.2).alias("suspect"))
 
 
 @query("Q9_bucket_diagnosis", r"""
 SELECT regexp_extract(url, '^(https?://[^/]*)/', 1) AS folder, regexp_extract(url, '://[^/]*/([a-z]*)/', 1) AS ext, count(*) AS n, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1, 2""")
 def _(t):
     p = t.pages.select(F.regexp_extract("url", "^(https?://[^/]*)/", 1).alias("folder"), F.regexp_extract("url", "://[^/]*/([a-z]*)/", 1).alias("ext"), F.octet_length("html").alias("b"))
-    return p.groupBy("folder", "ext").agg(N.alias("n"), F.sum("b").alias("bytes"))
+    return p.groupBy("folder", "ext").agg(N().alias("n"), F.sum("b").alias("bytes"))
 
 
 @query("Q10_not_binary", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE round(l_tax * 100) NOT IN (0, 1)")

@@ -11,7 +11,10 @@ from ..schemas import GRID, PATCHES, conform, missing
 from ..sources import annotations, listing
 from ..sources.store import written
 
-N = F.count(F.lit(1))
+
+def N():
+    """Rows."""
+    return F.count(F.lit(1))
 
 
 @query("S14_listing", """
@@ -84,7 +87,7 @@ def _(t):
     )
     assert not missing(raw, PATCHES) and missing(raw, GRID)
     d = written(conform(raw, PATCHES), "patches")
-    return d.groupBy("split").agg(N.alias("n"), F.round(F.sum(F.col("tumor_frac").cast("double")), 4).alias("tumor"))
+    return d.groupBy("split").agg(N().alias("n"), F.round(F.sum(F.col("tumor_frac").cast("double")), 4).alias("tumor"))
 
 
 @query("S23_S24_json_rows", """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS line FROM nation""")

@@ -10,7 +10,12 @@ from ..operators import raster
 from ..registry import query
 from .scalars import TILES_SQL, tiles
 
-N = F.count(F.lit(1))
+
+def N():
+    """Rows."""
+    return F.count(F.lit(1))
+
+
 K = ["label"]
 
 
@@ -85,7 +90,7 @@ def _binary_sql(above: float = 0.55) -> str:
 
 @query("R9_threshold", f"WITH {_binary_sql()} SELECT label, count(*) AS n FROM b GROUP BY 1")
 def _(t):
-    return binary(t).groupBy("label").agg(N.alias("n"))
+    return binary(t).groupBy("label").agg(N().alias("n"))
 
 
 DISK = "o(dy, dx) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))"

@@ -13,7 +13,12 @@ from ..functions import keys, units
 from ..operators import sampling, splits
 from ..registry import query
 
-N = F.count(F.lit(1))
+
+def N():
+    """Rows."""
+    return F.count(F.lit(1))
+
+
 SPLIT_SQL = "CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE 'test' END"
 PATCH_SQL = f"""p AS (SELECT l_orderkey AS slide_id, l_linenumber, l_partkey, l_suppkey, l_quantity / 50.0::DOUBLE AS tissue_frac, l_discount AS tumor_frac,
   CASE WHEN l_discount > 0.05 THEN 'tumor' WHEN l_discount > 0 THEN 'boundary' ELSE 'normal' END AS bucket, {SPLIT_SQL} AS split
@@ -28,7 +33,7 @@ def patches(t):
 
 @query("patch_index_summary", f"WITH {PATCH_SQL} SELECT split, bucket, count(*) AS n_patches, count(DISTINCT slide_id) AS n_slides FROM p GROUP BY 1, 2")
 def _(t):
-    return patches(t).groupBy("split", "bucket").agg(N.alias("n_patches"), F.countDistinct("slide_id").alias("n_slides"))
+    return patches(t).groupBy("split", "bucket").agg(N().alias("n_patches"), F.countDistinct("slide_id").alias("n_slides"))
 
 
 @query("O2_stratified_split", """
@@ -45,7 +50,7 @@ def _(t):
 WITH {PATCH_SQL} SELECT split, count(*) AS n, floor(count(*) FILTER (bucket = 'tumor') * (1 + 3 + 0.1::DOUBLE))::BIGINT AS epoch FROM p WHERE tissue_frac >= 0.10 GROUP BY 1""")
 def _(t):
     d = patches(t).filter(F.col("tissue_frac") >= 0.10)
-    return d.groupBy("split").agg(N.alias("n"), sampling.epoch_length(F.count_if(F.col("bucket") == "tumor")).alias("epoch"))
+    return d.groupBy("split").agg(N().alias("n"), sampling.epoch_length(F.count_if(F.col("bucket") == "tumor")).alias("epoch"))
 
 
 @query("W2_W3_split_and_class_filters", f"WITH {PATCH_SQL} SELECT slide_id, l_linenumber, tumor_frac, split FROM p WHERE split IN ('train', 'val') AND tumor_frac > 0.05 AND tissue_frac > 0.5")
@@ -71,7 +76,7 @@ SELECT count(*) AS failures FROM events WHERE event_type = 'error' AND ts >= (SE
 def _(t):
     """Failures older than the table they belong to are stale and don't count."""
     newest = t.events.agg(F.max("ts").alias("top"))
-    return t.events.filter("event_type = 'error'").crossJoin(F.broadcast(newest)).filter("ts >= top - interval 1 day").agg(N.alias("failures"))
+    return t.events.filter("event_type = 'error'").crossJoin(F.broadcast(newest)).filter("ts >= top - interval 1 day").agg(N().alias("failures"))
 
 
 @query("W7_dropna", "SELECT o_orderkey, quality FROM orders JOIN labels ON o_orderkey = doc_id WHERE quality IS NOT NULL")
@@ -98,7 +103,7 @@ WITH m AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_
 s AS (SELECT l_orderkey, l_linenumber, max(l_discount) AS tumor_frac FROM lineitem WHERE l_tax > 0.02 GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, n, tumor_frac FROM m LEFT JOIN s USING (l_orderkey, l_linenumber)""")
 def _(t):
-    m = t.lineitem.filter("l_quantity > 25").groupBy("l_orderkey", "l_linenumber").agg(N.alias("n"))
+    m = t.lineitem.filter("l_quantity > 25").groupBy("l_orderkey", "l_linenumber").agg(N().alias("n"))
     s = t.lineitem.filter(F.col("l_tax") > 0.02).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("tumor_frac"))
     return m.join(s, ["l_orderkey", "l_linenumber"], "left")
 
@@ -108,7 +113,7 @@ WITH a AS (SELECT l_orderkey AS slide_id, count(*) AS lesions FROM lineitem WHER
 b AS (SELECT l_orderkey AS slide_id, round(sum(l_quantity), 2) AS coverage FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
 SELECT slide_id, lesions, coverage FROM a FULL JOIN b USING (slide_id)""")
 def _(t):
-    a = t.lineitem.filter(F.col("l_discount") > 0.08).groupBy(F.col("l_orderkey").alias("slide_id")).agg(N.alias("lesions"))
+    a = t.lineitem.filter(F.col("l_discount") > 0.08).groupBy(F.col("l_orderkey").alias("slide_id")).agg(N().alias("lesions"))
     b = t.lineitem.filter(F.col("l_quantity") > 40).groupBy(F.col("l_orderkey").alias("slide_id")).agg(F.round(F.sum("l_quantity"), 2).alias("coverage"))
     return a.join(b, "slide_id", "outer")
 
@@ -117,7 +122,7 @@ def _(t):
 SELECT c_custkey, n_name, r_name, coalesce(s.n, 0) AS n_suppliers, 1.0::DOUBLE AS residual FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON s_nationkey = c_nationkey""")
 def _(t):
-    s = t.supplier.filter("s_acctbal > 5000").groupBy("s_nationkey").agg(N.alias("n"))
+    s = t.supplier.filter("s_acctbal > 5000").groupBy("s_nationkey").agg(N().alias("n"))
     d = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).join(s, F.col("s_nationkey") == F.col("c_nationkey"), "left")
     return d.select("c_custkey", "n_name", "r_name", F.coalesce("n", F.lit(0)).alias("n_suppliers"), F.lit(1.0).alias("residual"))
 
@@ -153,7 +158,7 @@ def _(t):
 WITH {PATCH_SQL} SELECT split, count(*) AS n, count(DISTINCT slide_id) AS slides, round(avg((tumor_frac > 0.05)::INT), 6) AS tumor_rate, count(*) FILTER (tumor_frac = 0) AS normal FROM p GROUP BY 1""")
 def _(t):
     rate = F.avg((F.col("tumor_frac") > 0.05).cast("double"))
-    return patches(t).groupBy("split").agg(N.alias("n"), F.countDistinct("slide_id").alias("slides"), F.round(rate, 6).alias("tumor_rate"), F.count_if(F.col("tumor_frac") == 0).alias("normal"))
+    return patches(t).groupBy("split").agg(N().alias("n"), F.countDistinct("slide_id").alias("slides"), F.round(rate, 6).alias("tumor_rate"), F.count_if(F.col("tumor_frac") == 0).alias("normal"))
 
 
 @query("A3_class_by_split", f"""
@@ -164,13 +169,13 @@ def _(t):
 
 @query("A4_frequencies", "SELECT p_brand, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, p_brand) AS place FROM part GROUP BY 1")
 def _(t):
-    d = t.part.groupBy("p_brand").agg(N.alias("n"))
+    d = t.part.groupBy("p_brand").agg(N().alias("n"))
     return d.withColumn("place", F.rank().over(W.orderBy(F.col("n").desc(), "p_brand")).cast("long"))
 
 
 @query("A5_sums_by_kind", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1")
 def _(t):
-    return t.documents.groupBy("lang").agg(N.alias("n"), F.sum("n_chars").alias("bytes"))
+    return t.documents.groupBy("lang").agg(N().alias("n"), F.sum("n_chars").alias("bytes"))
 
 
 @query("A7_quantiles", """
@@ -192,10 +197,10 @@ def _(t):
 
 
 @query("A10_A11_describe_by_vendor", """
-SELECT s_nationkey, count(*) AS n, round(avg(s_acctbal), 4) AS mean, round(quantile_cont(s_acctbal, 0.5), 4) AS median, min(s_acctbal) AS least, max(s_acctbal) AS most FROM supplier GROUP BY 1""")
+SELECT s_nationkey, count(*) AS n, round(avg(s_acctbal), 8) AS mean, round(quantile_cont(s_acctbal, 0.5), 4) AS median, min(s_acctbal) AS least, max(s_acctbal) AS most FROM supplier GROUP BY 1""")
 def _(t):
     b = "s_acctbal"
-    return t.supplier.groupBy("s_nationkey").agg(N.alias("n"), F.round(F.avg(b), 4).alias("mean"), F.round(F.percentile(b, F.lit(0.5)), 4).alias("median"), F.min(b).alias("least"), F.max(b).alias("most"))
+    return t.supplier.groupBy("s_nationkey").agg(N().alias("n"), F.round(F.avg(b), 8).alias("mean"), F.round(F.percentile(b, F.lit(0.5)), 4).alias("median"), F.min(b).alias("least"), F.max(b).alias("most"))
 
 
 @query("A30_evaluable_by_split", f"""
@@ -208,12 +213,16 @@ def _(t):
 
 @query("A31_group_count_map", "SELECT p_type, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1")
 def _(t):
-    counts = t.part.groupBy("p_type", "p_brand").agg(N.alias("n"))
+    counts = t.part.groupBy("p_type", "p_brand").agg(N().alias("n"))
     maps = counts.groupBy("p_type").agg(F.map_from_entries(F.collect_list(F.struct("p_brand", "n"))).alias("m"))
     return maps.select("p_type", F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.size("m").cast("long").alias("brands"))
 
 
-KEY = F.concat_ws("_", "slide_id", "l_linenumber", "l_partkey", "l_suppkey")
+def KEY():
+    """A patch's key."""
+    return F.concat_ws("_", "slide_id", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 KEY_SQL = "slide_id || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey"
 
 
@@ -221,7 +230,7 @@ KEY_SQL = "slide_id || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppk
 WITH {PATCH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY md5('1337:' || {KEY_SQL}), {KEY_SQL}) AS k FROM p)
 SELECT {KEY_SQL} AS key, bucket FROM r WHERE k <= 2""")
 def _(t):
-    return sampling.first_per_group(patches(t), ["slide_id"], KEY, 2).select(KEY.alias("key"), "bucket")
+    return sampling.first_per_group(patches(t), ["slide_id"], KEY(), 2).select(KEY().alias("key"), "bucket")
 
 
 @query("O7_O8_chunk_order_and_batches", """
@@ -246,7 +255,7 @@ def _(t):
 @query("O11_O16_seeded_sample", f"""
 WITH {PATCH_SQL} SELECT {KEY_SQL} AS key FROM p WHERE split = 'val' ORDER BY md5('7:' || {KEY_SQL}), {KEY_SQL} LIMIT 500""")
 def _(t):
-    return sampling.sample(patches(t).filter("split = 'val'").select(KEY.alias("key")), F.col("key"), 500, seed=7)
+    return sampling.sample(patches(t).filter("split = 'val'").select(KEY().alias("key")), F.col("key"), 500, seed=7)
 
 
 @query("O12_proportional_cap", f"""
@@ -254,7 +263,7 @@ WITH {PATCH_SQL}, r AS (SELECT bucket, {KEY_SQL} AS key, row_number() OVER (PART
   count(*) OVER (PARTITION BY bucket) AS n, count(*) OVER () AS a FROM p)
 SELECT bucket, key FROM r WHERE i <= CASE WHEN a <= 3000 THEN n ELSE greatest(CASE WHEN bucket = 'boundary' THEN 0 ELSE 1 END, floor(n * 3000.0::DOUBLE / a)) END""")
 def _(t):
-    return sampling.proportional_cap(patches(t).select("bucket", KEY.alias("key")), "bucket", F.col("key"), 3000)
+    return sampling.proportional_cap(patches(t).select("bucket", KEY().alias("key")), "bucket", F.col("key"), 3000)
 
 
 @query("O13_O15_balanced_draw", f"""
@@ -267,7 +276,7 @@ c AS (SELECT key, bucket, CASE WHEN bucket = 'tumor' THEN 1 WHEN hard THEN (i <=
   ELSE floor(db / greatest(nb, 1)) + (i <= db % greatest(nb, 1))::INT END AS copies FROM r, d)
 SELECT key, bucket, copies::BIGINT AS copies FROM c WHERE copies > 0""")
 def _(t):
-    p = patches(t).select("bucket", KEY.alias("key"), "tissue_frac")
+    p = patches(t).select("bucket", KEY().alias("key"), "tissue_frac")
     d = sampling.balanced_draw(p, "bucket", F.col("key"), hard=F.col("tissue_frac") > 0.9)
     return d.select("key", "bucket", "copies")
 
@@ -294,7 +303,7 @@ def _(t):
 
 @query("O20_S20_shards")
 def _(t):
-    d = t.customer.groupBy("c_nationkey").agg(N.alias("n"))
+    d = t.customer.groupBy("c_nationkey").agg(N().alias("n"))
     return sampling.shard_ids(d, "n", "c_nationkey", 200)
 
 

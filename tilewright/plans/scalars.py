@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import keys, pixels, units
 from ..registry import query
 
-DS = F.array(F.lit(1.0), F.lit(1.9992175), F.lit(3.998435))
+def DS():
+    """Downsampling factors of three levels."""
+    return F.array(F.lit(1.0), F.lit(1.9992175), F.lit(3.998435))
 
 
 @query("P1_P2_level_coordinates", """
@@ -18,7 +20,7 @@ SELECT p_partkey, round(p_size * (CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN
        round(p_size / (CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.9992175 ELSE 3.998435 END)::DOUBLE, 5) AS x_level FROM part""")
 def _(t):
     level = F.col("p_partkey") % 3
-    return t.part.select("p_partkey", F.round(units.level_to_l0(F.col("p_size"), DS, level), 5).alias("x_l0"), F.round(units.l0_to_level(F.col("p_size"), DS, level), 5).alias("x_level"))
+    return t.part.select("p_partkey", F.round(units.level_to_l0(F.col("p_size"), DS(), level), 5).alias("x_l0"), F.round(units.l0_to_level(F.col("p_size"), DS(), level), 5).alias("x_level"))
 
 
 @query("P3_resolve_level", """
@@ -27,7 +29,7 @@ l AS (SELECT p_partkey, mpp, i, d FROM m, (VALUES (0, 1.0::DOUBLE), (1, 1.999217
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(abs(ln(mpp * d / 0.5)), 12), i) AS n FROM l)
 SELECT p_partkey, i AS level, round(mpp * d / 0.5, 6) AS residual FROM r WHERE n = 1""")
 def _(t):
-    best = units.resolve_level(DS, F.col("p_size") / 40.0, 0.5)
+    best = units.resolve_level(DS(), F.col("p_size") / 40.0, 0.5)
     return t.part.select("p_partkey", best.alias("b")).select("p_partkey", "b.level", F.round("b.residual", 6).alias("residual"))
 
 
@@ -36,7 +38,7 @@ WITH l AS (SELECT p_partkey, p_size / 40.0::DOUBLE AS mpp, i, d FROM part, (VALU
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(abs(ln(mpp * d / 8.0)), 12), i) AS n FROM l)
 SELECT p_partkey, i AS level FROM r WHERE n = 1""")
 def _(t):
-    return t.part.select("p_partkey", units.resolve_level(DS, F.col("p_size") / 40.0, 8.0)["level"].alias("level"))
+    return t.part.select("p_partkey", units.resolve_level(DS(), F.col("p_size") / 40.0, 8.0)["level"].alias("level"))
 
 
 @query("P5_needs_resample", "SELECT p_partkey, abs(p_size / 25.0::DOUBLE - 1) > 0.05::DOUBLE AS needs FROM part")
@@ -202,12 +204,11 @@ def _(t):
     return t.events.select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("run_utc"))
 
 
-RGB = ((F.col("l_partkey") * 37) % 256, (F.col("l_suppkey") * 91) % 256, (F.col("l_orderkey") * 53) % 256)
 RGB_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey * 37) % 256 AS r, (l_suppkey * 91) % 256 AS g, (l_orderkey * 53) % 256 AS b, l_quantity AS q FROM lineitem"
 
 
 def _rgb(t):
-    r, g, b = RGB
+    r, g, b = (F.col("l_partkey") * 37) % 256, (F.col("l_suppkey") * 91) % 256, (F.col("l_orderkey") * 53) % 256
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r.alias("r"), g.alias("g"), b.alias("b"), F.col("l_quantity").alias("q"))
 
 
