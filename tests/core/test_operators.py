@@ -258,3 +258,24 @@ def test_stream_windows(spark, tmp_path):
     got = {(r.start, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got <= {(r.start, r.n) for r in windows.tumbling(e, "1 hour").collect()} and len(got) >= 3
     assert windows.sessions(e, "2 minutes").count() == 200 or windows.sessions(e, "5 minutes").count() == 3
+
+
+def test_tissue_mask(spark):
+    from tilewright import catalog
+
+    r = {x.slide: x for x in catalog.QUERIES["R22_Q4_tissue_mask"](spark, "").collect()}
+    blob = 19 * 25 / 48**2
+    assert r[0].tissue_frac == 0 and r[0].pen_frac == 0
+    assert r[1].tissue_frac == pytest.approx(blob, rel=0.05) and r[1].qc_flag == "ok"
+    assert r[2].tissue_frac == pytest.approx(blob, rel=0.05) and r[2].pen_frac == pytest.approx((48 * 4 + 9 * 21) / 48**2, rel=0.01)
+
+
+def test_patch_set(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files/s_0_0.png").write_bytes(b"img")
+    m = spark.createDataFrame([("s_0_0", 3, 0, 0.5, "s", 0, "train", 0, 0), ("s_1_0", 3, 0, 0.5, "s", 0, "val", 1, 0)], schemas.MANIFEST)
+    assert bytes(files.patch_set(spark, str(tmp_path), m, "train").first().content) == b"img"
+    f = spark.createDataFrame([("2024", "s", "p", "e", "t")], schemas.FAILED)
+    files.write_failures(f, str(tmp_path / "failed"))
+    files.write_failures(f.limit(0), str(tmp_path / "failed"))
+    assert files.read_failures(spark, str(tmp_path / "failed")).count() == 0

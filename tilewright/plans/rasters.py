@@ -177,3 +177,21 @@ def _(t):
 
     c = heatmaps.chunks(raster.finalised(sums(t)), K, "heat", 16)
     return c.select("label", "cy", "cx", F.size("cells").cast("long").alias("cells"), F.round(F.array_max(F.transform("cells", lambda x: x["v"])), 6).alias("top"))
+
+
+@query("R22_Q4_tissue_mask")
+def _(t):
+    """Three synthetic thumbnails: glass alone, tissue on glass, tissue with ink and a black border. The tests hold the invariants."""
+    from ..operators import tissue
+
+    side = 48
+    d = t.spark.range(3 * side * side).select((F.col("id") % 3).alias("slide"), F.floor(F.col("id") / 3 / side).alias("y"), (F.floor(F.col("id") / 3) % side).alias("x"))
+    noise = F.pmod(F.xxhash64("slide", "y", "x"), F.lit(7)) - 3
+    blob = (F.col("slide") > 0) & F.col("y").between(12, 30) & F.col("x").between(10, 34)
+    ink = (F.col("slide") == 2) & F.col("y").between(36, 44) & F.col("x").between(20, 40)
+    dark = (F.col("slide") == 2) & (F.col("x") < 4)
+    channel = lambda glass, pink, green: F.when(dark, 5).when(ink, green).when(blob, pink + noise).otherwise(glass + noise)
+    thumbs = d.select("slide", "y", "x", channel(243, 196, 20).alias("r"), channel(243, 138, 200).alias("g"), channel(243, 186, 60).alias("b"))
+    cfg = tissue.TissueConfig(close_um=16.0, open_um=16.0, min_object_mm2=0.002)
+    _, report = tissue.tissue_mask(thumbs, ["slide"], 8.0, side, side, cfg, strict=False)
+    return report.select("slide", "qc_flag", F.round("pen_frac", 6).alias("pen_frac"), F.round("tissue_frac", 6).alias("tissue_frac"))
