@@ -56,7 +56,7 @@ def _passages(lines: Column, breaks) -> Column:
 
 def quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, passage): the quoted passages of parsed messages, normalised."""
-    runs = _passages(F.filter("lines", lambda x: x["level"] > 0), lambda x, last: x["level"] != last["level"])
+    runs = F.filter(_passages(F.col("lines"), lambda x, last: x["level"] != last["level"]), lambda p: p["level"] > 0)
     q = messages.filter(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.explode(runs).alias("p"))
     return q.select("conv_id", "turn", "p.level", normal(F.col("p.text")).alias("passage")).filter("passage != ''")
 
@@ -122,10 +122,9 @@ p AS (SELECT *, length(regexp_replace(regexp_extract(s, '^((?:[ \t]*>)+)', 1), '
              regexp_replace(s, '^((?:[ \t]*>)+) ?', '') AS c FROM l),
 m AS (SELECT conv_id, turn, any_value(role) AS role, any_value(t) AS t, max(level) AS max_level,
              coalesce(string_agg(CASE WHEN level = 0 THEN c END, chr(10) ORDER BY i), '') AS body FROM p GROUP BY conv_id, turn),
-q0 AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS run,
-              row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS g FROM p WHERE level > 0),
+q0 AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS run FROM p WHERE level > 0),
 q AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(string_agg(c, chr(10) ORDER BY i)), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS passage
-      FROM q0 GROUP BY conv_id, turn, level, g),
+      FROM q0 GROUP BY conv_id, turn, level, run),
 o AS (SELECT conv_id, turn, unnest([body] || regexp_split_to_array(body, '\n[ \t]*\n') || string_split(body, chr(10))) AS x FROM m),
 f AS (SELECT conv_id, trim(regexp_replace(lower(x), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS said, min(turn) AS original FROM o GROUP BY 1, 2),
 k AS (SELECT DISTINCT q.conv_id, q.turn, level, passage, original FROM q LEFT JOIN f
