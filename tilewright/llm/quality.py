@@ -11,7 +11,7 @@ get equal rows; a null id is kept as null; an empty table gives an empty result;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, SPACE, words_of, written
@@ -51,13 +51,13 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of each row: doc_id, _digest, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    n = F.col("n_words")
-    d = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    d = d.select("doc_id", "_text", words_of(F.col("_text")).alias("_w"), F.filter(F.split("_text", "\n"), lambda s: s.rlike(NOT_SPACE)).alias("_l"))
+def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Counts of each row: doc_id, _digest, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; with carry, the row itself as the struct _row."""
+    n, row = F.col("n_words"), ["_row"] * carry
+    d = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.struct(*df.columns).alias(c) for c in row])
+    d = d.select("doc_id", *row, "_text", words_of(F.col("_text")).alias("_w"), F.filter(F.split("_text", "\n"), lambda s: s.rlike(NOT_SPACE)).alias("_l"))
     d = d.select(
-        "doc_id", F.xxhash64("_text").alias("_digest"), F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        "doc_id", *row, F.xxhash64("_text").alias("_digest"), F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
@@ -75,26 +75,31 @@ def base_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return d.withColumn("base_failed", (n < 20) | (100 * F.col("n_repeat_words") > 30 * n))
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """One row per input row: the base counts, base_failed, lost_words, lost_lines, kept."""
-    base, lost = base_rules(df, id_col, text_col), removed_lines(df, id_col, text_col, host_col, **limits)
+def _depleted(n_words: Column, lost: Column) -> Column:
+    left = n_words - lost
+    return (lost > 0) & ((left < MIN_LEFT) | (left < MIN_LEFT_SHARE * n_words))
+
+
+def _with_lost(base: DataFrame, lost: DataFrame) -> DataFrame:
+    """base with lost_words and lost_lines."""
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), "lost", "positions")
     both = base.join(lost, base["doc_id"].eqNullSafe(lost["_id"]) & (base["_digest"] == lost["_d"]), "left")
-    words = F.coalesce("lost", F.lit(0))
-    left = F.col("n_words") - words
-    depleted = (words > 0) & ((left < MIN_LEFT) | (left < MIN_LEFT_SHARE * F.col("n_words")))
-    return both.select(*base.columns, words.alias("lost_words"), F.coalesce("positions", F.array().cast("array<int>")).alias("lost_lines"), (~F.col("base_failed") & ~depleted).alias("kept"))
+    return both.select(*base.columns, F.coalesce("lost", F.lit(0)).alias("lost_words"), F.coalesce("positions", F.array().cast("array<int>")).alias("lost_lines"))
+
+
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """One row per input row: the base counts, base_failed, lost_words, lost_lines, kept."""
+    d = _with_lost(base_rules(df, id_col, text_col), removed_lines(df, id_col, text_col, host_col, **limits))
+    return d.withColumn("kept", ~F.col("base_failed") & ~_depleted(F.col("n_words"), F.col("lost_words")))
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", **limits) -> DataFrame:
-    """df without rejected rows and without boiler-plate lines; columns as they were. Rows that nothing changes only pass a join with the small table of changes."""
-    verdict = quality_rules(df, id_col, text_col, host_col, **limits)
-    changes = written(verdict.filter(~F.col("kept") | (F.size("lost_lines") > 0)).select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), F.col("kept").alias("_kept"), F.col("lost_lines").alias("_lost")).distinct(), "changes")
-    digest = F.xxhash64(F.coalesce(df[text_col], F.lit("")))
-    out = df.join(changes, df[id_col].eqNullSafe(changes["_id"]) & (digest == changes["_d"]), "left").filter(F.coalesce("_kept", F.lit(True)))
-    lost = F.size(F.coalesce("_lost", F.array().cast("array<int>"))) > 0
-    left = F.array_join(F.filter(F.split(df[text_col], "\n"), lambda s, i: ~F.array_contains("_lost", i)), "\n")
-    out = out.withColumn(text_col, F.when(lost, left).otherwise(df[text_col]))
-    if chars_col in df.columns:
-        out = out.withColumn(chars_col, F.when(lost, F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
-    return out.select(*df.columns)
+    """df without rejected rows and without boiler-plate lines; columns as they were. The base rules need the row alone, so texts only meet the written table of lost lines, in a broadcast if it is small."""
+    lost = written(removed_lines(df, id_col, text_col, host_col, **limits), "lost")
+    d = _with_lost(base_rules(df, id_col, text_col, carry=True).filter("not base_failed"), lost)
+    d = d.filter(~_depleted(F.col("n_words"), F.col("lost_words")))
+    some, text = F.size("lost_lines") > 0, F.col(f"_row.`{text_col}`")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains("lost_lines", i)), "\n")
+    out = d.withColumn("_new", F.when(some, left).otherwise(text))
+    put = {text_col: F.col("_new"), chars_col: F.when(some, F.length("_new").cast("long")).otherwise(F.col(f"_row.`{chars_col}`"))}
+    return out.select(*[put[c].alias(c) if c in put else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
