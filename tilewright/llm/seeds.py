@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,24 +14,6 @@ BITS = 26
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHash(dict):
-    """64-bit hashes of words; remembers up to `most` of them."""
-
-    def __init__(self, seed: int = 0, most: int = 1_000_000):
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        got = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-    def all(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads them evenly."""
     with np.errstate(over="ignore"):
@@ -58,13 +39,15 @@ def minimizers(g: np.ndarray, w: int) -> np.ndarray:
     n = len(g) - w + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    best = np.arange(n)
-    least = g[:n].copy()
-    for i in range(1, w):
-        lower = g[i : i + n] < least
-        best[lower] = np.flatnonzero(lower) + i
-        least[lower] = g[i : i + n][lower]
-    return best
+    least, wide = g, 1
+    while 2 * wide <= w:  # least of 2, 4, 8, ... consecutive numbers
+        least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
+    if wide < w:
+        least = np.minimum(least[:n], least[w - wide : w - wide + n])
+    best = np.full(n, w - 1, dtype=np.int64)
+    for i in range(w - 2, -1, -1):
+        best[g[i : i + n] == least] = i
+    return best + np.arange(n)
 
 
 def bitmap(keys: DataFrame, col: str, bits: int = BITS) -> bytes:

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,70 +27,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .seeds import WordHash, bitmap, grams, hits, minimizers, texts
+from .seeds import bitmap, grams, hits, minimizers, texts
+from .words import hashed, runs
 
 #: Words of a window; words of an anchor.
 LENGTH, ANCHOR = 13, 5
 
 
-@cache
-def _hashes() -> WordHash:
-    return WordHash(seed=5)
-
-
 def _digest(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode()) & (2**63 - 1)
 
 
-def _stretches(text: str, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(anchor, start, n, windows): of each stretch its anchor, first window and number of windows, and all windows' hashes."""
-    h = _hashes().all(text.encode().split())
-    g = grams(h, k)
+def _stretches(h: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(doc, anchor, start, n, content, windows, place) of the stretches of some documents with word hashes h and offsets at.
+
+    doc counts from 0, start is the stretch's first window within its document, n its number of windows, content a hash
+    of them; windows are the hashes of all windows of h, in which the stretch's stand from `place` on.
+    """
+    g, win = grams(h, k), grams(h, length, seed=1)
+    if not len(win):
+        return (np.empty(0, np.int64),) * 7
     best = minimizers(g, length - k + 1)
-    if not len(best):
-        return (np.empty(0, np.uint64),) * 4
-    start = np.flatnonzero(np.diff(best, prepend=-1))
-    return g[best[start]], start, np.diff(start, append=len(best)), grams(h, length, seed=1)
+    counts = np.diff(at)
+    doc = np.repeat(np.arange(len(counts)), counts)[: len(win)]
+    stop = at[1:][doc] - length + 1  # past the document's last window
+    place = np.arange(len(win))
+    valid = place < stop
+    fresh = valid.copy()
+    fresh[1:] &= ~valid[:-1] | (best[1:] != best[:-1])
+    start = np.flatnonzero(fresh)
+    end = np.minimum(np.append(start[1:], len(win)), stop[start])
+    d = doc[start]
+    return d, g[best[start]], start - at[:-1][d], end - start, runs(win, start, end), win, start
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """(anchor, doc_id): each document's distinct anchors."""
+    """(anchor, doc_id): the documents' anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, bodies in texts(batches):
-            found = [np.unique(_stretches(t, length, k)[0]) if t and i is not None else np.empty(0, np.uint64) for i, t in zip(ids, bodies, strict=True)]
-            doc = np.repeat(np.array([i or 0 for i in ids], dtype=np.int64), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(doc)], ["anchor", "doc_id"])
+        for batch in batches:
+            ids, known = _ids(batch)
+            for row, h, at in hashed(batch.column(1)):
+                doc, anchor, *_ = _stretches(h, at, length, k)
+                keep = known[row + doc]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), pa.array(ids[row + doc[keep]])], ["anchor", "doc_id"])
 
     return docs.mapInArrow(run, "anchor bigint, doc_id bigint")
 
 
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, 0 for null ones, and which are known."""
+    c = batch.column(0)
+    return c.fill_null(0).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False)
+
+
 def stretches(docs: DataFrame, shared: bytes, windows: bool = False, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(anchor, content, doc_id, digest, start, n[, hashes]) of the stretches whose anchor the bitmap may hold."""
     bits = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, dtype=np.uint8)
-        for ids, bodies in texts(batches):
-            parts: list[tuple] = []
-            for i, t in zip(ids, bodies, strict=True):
-                if not t or i is None:
+        for batch in batches:
+            ids, known = _ids(batch)
+            for row, h, at in hashed(batch.column(1)):
+                doc, anchor, start, n, content, win, place = _stretches(h, at, length, k)
+                keep = np.flatnonzero(known[row + doc] & hits(held, anchor)) if len(doc) else doc
+                if not len(keep):
                     continue
-                a, start, n, win = _stretches(t, length, k)
-                keep = np.flatnonzero(hits(held, a)) if len(a) else a
-                if len(keep):
-                    raw, d = win.tobytes(), _digest(t)
-                    spans = [(int(start[j]), int(n[j])) for j in keep]
-                    for j, (s, m) in zip(keep, spans, strict=True):
-                        x = raw[8 * s : 8 * (s + m)]
-                        parts.append((int(a[j].view(np.int64)), xxhash.xxh3_64_intdigest(x) & (2**63 - 1), i, d, s, m, x))
-            if parts:
-                cols = list(zip(*parts, strict=True))
-                out = [pa.array(c, t) for c, t in zip(cols[:6], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                digests = np.array([_digest(t) for t in batch.column(1).slice(row, len(at) - 1).to_pylist()], dtype=np.int64)
+                out = [pa.array(x) for x in (anchor[keep].view(np.int64), content[keep].view(np.int64), ids[row + doc[keep]], digests[doc[keep]], start[keep].astype(np.int32), n[keep].astype(np.int32))]
                 if windows:
-                    ends = np.zeros(len(parts) + 1, dtype=np.int32)
-                    np.cumsum(cols[5], out=ends[1:])
-                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cols[6]), dtype=np.int64))))
+                    ends = np.zeros(len(keep) + 1, dtype=np.int32)
+                    np.cumsum(n[keep], out=ends[1:])
+                    each = np.repeat(place[keep] - ends[:-1], n[keep]) + np.arange(ends[-1])
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(win[each].view(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, ["anchor", "content", "doc_id", "digest", "start", "n", *["hashes"] * windows])
 
     return docs.mapInArrow(run, "anchor bigint, content bigint, doc_id bigint, digest bigint, start int, n int" + ", hashes array<bigint>" * windows)
