@@ -57,21 +57,25 @@ def recipes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
-    Groups are pre-aggregated before the shuffle and joined back, so a group of a third of all rows is one row on one
-    side and splits on the other.
+    Groups are pre-aggregated before the shuffle; those with copies are written and joined back, so a group of a third of
+    all rows is one row on one side, broadcast or not by its measured size, and splits on the other.
     """
     listed = recipes(df, id_col, text_col)
     groups = listed.groupBy("recipe", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return listed.join(groups, ["recipe", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
-    )
+    groups = written(groups.filter("group_size > 1").select(F.col("recipe").alias("_r"), F.col("text_sha256").alias("_s"), "keep_id", "group_size"), "copies")
+    both = listed.join(groups, (listed["recipe"] == groups["_r"]) & (listed["text_sha256"] == groups["_s"]), "left")
+    alone = F.col("group_size").isNull()
+    return both.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"),
+    )
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that exact_dedup drops; columns as they were."""
     gone = exact_dedup(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    gone = written(gone, "copies")
+    gone = written(gone, "dropped")
     return df.join(gone, (df[id_col].eqNullSafe(gone["_gone"])) & (sha == gone["_sha"]), "left_anti")
 
 
