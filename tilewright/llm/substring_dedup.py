@@ -81,8 +81,8 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return c.fill_null(0).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False)
 
 
-def stretches(docs: DataFrame, shared: bytes, windows: bool = False, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """(anchor, content, doc_id, digest, start, n[, hashes]) of the stretches whose anchor the bitmap may hold."""
+def stretches(docs: DataFrame, shared: bytes, windows: bool = False, whole: bool = False, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+    """(anchor, content, doc_id, digest, start, n[, hashes]) of the stretches whose anchor, or with whole whose content, the bitmap may hold."""
     bits = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def stretches(docs: DataFrame, shared: bytes, windows: bool = False, length: int
             ids, known = _ids(batch)
             for row, h, at in hashed(batch.column(1)):
                 doc, anchor, start, n, content, win, place = _stretches(h, at, length, k)
-                keep = np.flatnonzero(known[row + doc] & hits(held, anchor)) if len(doc) else doc
+                keep = np.flatnonzero(known[row + doc] & hits(held, content if whole else anchor)) if len(doc) else doc
                 if not len(keep):
                     continue
                 digests = np.array([_digest(t) for t in batch.column(1).slice(row, len(at) - 1).to_pylist()], dtype=np.int64)
@@ -109,13 +109,14 @@ def stretches(docs: DataFrame, shared: bytes, windows: bool = False, length: int
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(doc_id, digest, spans): first window and number of windows of what an earlier document says too; the spans of columns doc_id, text."""
     first = anchors(docs, length, k).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    found = written(stretches(docs, bitmap(first, "anchor"), length=length, k=k), "stretches")
-
-    # stretches that are equal as a whole: all but the earliest document's are repeats
-    same = found.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    same = written(same, "contents")
-    copied = same.filter("first < last").select(F.col("anchor").alias("_a"), F.col("content").alias("_c"), "first")
-    whole = found.join(written(copied, "copied"), (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c"))).filter("doc_id > first").select("doc_id", "digest", "start", "n")
+    found = stretches(docs, bitmap(first, "anchor"), length=length, k=k)
+
+    # stretches that are equal as a whole: all but the earliest document's are repeats; they are looked for in the texts
+    # once more, which moves less than keeping all that the anchors bring up
+    same = written(found.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "contents")
+    copied = written(same.filter("first < last").select(F.col("anchor").alias("_a"), F.col("content").alias("_c"), "first"), "copied")
+    again = stretches(docs, bitmap(copied, "_c"), whole=True, length=length, k=k)
+    whole = again.join(copied, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c"))).filter("doc_id > first").select("doc_id", "digest", "start", "n")
 
     # anchors in different stretches: their earliest documents' windows, one by one
     differ = written(same.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("first").alias("x"), F.max("first").alias("y")).filter("m > 1 and x < y").select("anchor"), "ends")
