@@ -33,6 +33,8 @@ from .common import shared_dir, written
 
 #: Payloads from LEAST bytes on are revisited. A frame closes at FRAME bytes of records, a bundle at BUNDLE bytes.
 LEAST, FRAME, BUNDLE = 1000, 1 << 18, 1 << 25
+#: Tasks that read bundles, at most; beyond that a task reads several.
+READERS = 100_000
 #: Fixed values of the formats.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -194,7 +196,9 @@ def read_bundles(folder: str, index: DataFrame, payloads: bool = False) -> DataF
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     ddl = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string" + ", payload binary" * payloads
-    return index.select("bundle").distinct().mapInArrow(run, ddl)
+    bundles = index.select("bundle").distinct()
+    tasks = max(1, min(bundles.count(), READERS))  # names are short: dealt by size, all would go to one task
+    return bundles.repartition(tasks).mapInArrow(run, ddl)
 
 
 def read_record(folder: str, bundle: str, frame: int, at: int) -> tuple[dict[str, str], bytes]:
