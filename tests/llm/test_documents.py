@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,26 @@ def test_jaccard_chains_and_frequent_tokens(spark, monkeypatch):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _components(rows, k, percent)
 
 
+def test_jaccard_frequent_token_first(spark, monkeypatch):
+    """A cut copy exactly at the threshold whose first token is frequent: the first rare one in common has it before it."""
+    rnd = random.Random(3)
+    monkeypatch.setattr(jaccard, "RARE", 3)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    tokens = lambda t: next(jaccard.token_sets([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([" ".join(t)])], ["i", "t"])], 4))[1][0]
+    shared = min((words(4) for _ in range(3000)), key=lambda w: int(tokens(w)[0]))
+    long = words(8) + shared + words(11)
+    rows = [(1, " ".join(long), None), (2, " ".join(long[:20]), None)] + [(10 + i, " ".join(words(8) + shared + words(8)), None) for i in range(5)]
+    assert len(tokens(long)) == 20 and all(tokens(t.split())[0] == tokens(shared)[0] for _, t, _ in rows)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(_make(spark, rows), k=4, percent=85).collect()}
+    assert got == {1: 1, 2: 1} | {10 + i: 10 + i for i in range(5)}
+
+
+def test_most_groups(spark):
+    for percent in (80, 85):
+        got = spark.range(1, 20_000).select("id", jaccard.most_groups(F.col("id"), percent).alias("m")).collect()
+        assert all(r.m == jaccard.group_counts(r.id, percent)[-1] for r in got)
+
+
 def test_near_dedup_keeps_columns(docs, rows):
     d = jaccard.near_dedup(docs, k=5, percent=80)
     assert d.columns == docs.columns
