@@ -15,7 +15,7 @@ def N():
 
 def slides(t):
     k = F.col("s_suppkey")
-    return t.supplier.filter("s_suppkey < 40").select("s_suppkey", (k % 7 * 300 + 400).alias("w"), (k % 5 * 350 + 500).alias("h"))
+    return t.supplier.select("s_suppkey", (k % 7 * 300 + 400).alias("w"), (k % 5 * 350 + 500).alias("h"))
 
 
 SLIDES = "s AS (SELECT s_suppkey, s_suppkey % 7 * 300 + 400 AS w, s_suppkey % 5 * 350 + 500 AS h FROM supplier WHERE s_suppkey < 40)"
@@ -46,7 +46,7 @@ MASK = "(y * 7 + x * 3 + k) % 5 < 2"
 
 
 def mask(t, key: str = "s_suppkey"):
-    d = t.supplier.filter("s_suppkey < 40").select(key).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))))
+    d = t.supplier.select(key).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))))
     return d.withColumn("v", ((F.col("y") * 7 + F.col("x") * 3 + F.col(key)) % 5 < 2).cast("long"))
 
 
@@ -57,7 +57,7 @@ SELECT w.k AS s_suppkey, r::BIGINT AS r, c::BIGINT AS c, round(avg(v), 6) AS fra
 def _(t):
     """Four look-ups in a summed-area table instead of a range join over the cells."""
     sat = grid.summed_area(mask(t), ["s_suppkey"], "v")
-    w = t.supplier.filter("s_suppkey < 40").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(15), F.lit(3))).alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(20), F.lit(4))))
+    w = t.supplier.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(15), F.lit(3))).alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(20), F.lit(4))))
     w = w.select("s_suppkey", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + 5).alias("r1"), (F.col("c") + 6).alias("c1"))
     return grid.window_fractions(w, sat, ["s_suppkey"], 20, 25).select("s_suppkey", "r", "c", F.round("frac", 6).alias("frac"))
 
