@@ -1,5 +1,7 @@
 """Queries over whole tables, against brute force: tables beyond the sizes that their SQL stops at."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -72,3 +74,16 @@ def test_gated_plan(spark, folder):
 def test_mask_area(spark, folder):
     got = {r.s_suppkey: r.tissue_frac for r in catalog.QUERIES["A27_mask_area"](spark, folder).collect()}
     assert got == pytest.approx({k: _mask(k).mean() for k in range(1, N_SUPPLIERS + 1)}, abs=1e-6)
+
+
+def test_split_problems_of_all_slides(spark, tmp_path):
+    """Train has its only tumor patch, and val its third slide, outside of the multiples of 500."""
+    split = lambda c: (lambda h: "train" if h < 70 else "val" if h < 85 else "test")(int(hashlib.md5(f"1337:{c}".encode()).hexdigest()[:8], 16) % 100)
+    of = {s: [c for c in range(1, 500) if split(c) == s][:4] for s in ("train", "val", "test")}
+    slides = {500 * (i + 1) + (i % 2): (s, c) for i, (s, c) in enumerate((s, c) for s in of for c in of[s])}
+    spark.createDataFrame([(k, c) for k, (_, c) in slides.items()], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    tumor = {k: 0.09 if k % 500 and s != "val" else 0.0 for k, (s, _) in slides.items()}
+    lines = [(k, n, 1, 1, 20.0, tumor[k] if n == 1 else 0.0) for k in slides for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(r.problem for r in catalog.QUERIES["Q1_split_problems"](spark, str(tmp_path)).collect())
+    assert got == ["test: no tumor patches", "val: no tumor patches"]
