@@ -87,3 +87,24 @@ def test_split_problems_of_all_slides(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted(r.problem for r in catalog.QUERIES["Q1_split_problems"](spark, str(tmp_path)).collect())
     assert got == ["test: no tumor patches", "val: no tumor patches"]
+
+
+def _tiles(spark, folder):
+    return {r.vec_id: np.array(r.embedding, dtype=float).reshape(8, 8) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+
+
+def test_median_blur_of_all_tiles(spark, folder):
+    got = {r.vec_id: r["values"] for r in catalog.QUERIES["R18_median_blur"](spark, folder).collect()}
+    assert len(got) == N_TILES
+    for i, a in _tiles(spark, folder).items():
+        p = np.pad(a, 1, mode="edge")
+        want = [np.median(p[y : y + 3, x : x + 3]) for y in range(8) for x in range(8)]
+        assert got[i] == pytest.approx(want)
+
+
+def test_blur_of_all_tiles(spark, folder):
+    got = {(r.vec_id, r.y, r.x): r.v for r in catalog.QUERIES["R26_blur"](spark, folder).collect()}
+    k = np.array([[max(0.0, 0.5 - abs(i - j) / 4) if abs(i - j) < 2 else 0.0 for j in range(8)] for i in range(8)])
+    k /= k.sum(axis=1, keepdims=True)
+    want = {(i, y, x): v for i, a in _tiles(spark, folder).items() for (y, x), v in np.ndenumerate(k @ a @ k.T)}
+    assert got == pytest.approx(want, abs=1.1e-6)

@@ -156,7 +156,7 @@ def _(t):
 
 @query("R18_median_blur")
 def _(t):
-    d = t.embeddings.filter("vec_id < 200").select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("embedding", lambda v: v.cast("double")).alias("values"))
+    d = t.embeddings.select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("embedding", lambda v: v.cast("double")).alias("values"))
     return raster.median_blur(d, ["vec_id"], 3)
 
 
@@ -165,7 +165,7 @@ WITH c AS ({TILES_SQL} WHERE vec_id < 100), k(o, w) AS (VALUES (-1, 0.25::DOUBLE
 h AS (SELECT vec_id, y, x + o AS x, sum(v * w) / sum(w) AS v FROM c, k WHERE x + o BETWEEN 0 AND 7 GROUP BY 1, 2, 3)
 SELECT vec_id, y + o AS y, x, round(sum(v * w) / sum(w), 6) AS v FROM h, k WHERE y + o BETWEEN 0 AND 7 GROUP BY 1, 2, 3""")
 def _(t):
-    d = raster.blur(tiles(t).filter("vec_id < 100"), ["vec_id"], "v", [0.25, 0.5, 0.25])
+    d = raster.blur(tiles(t), ["vec_id"], "v", [0.25, 0.5, 0.25])
     return d.select("vec_id", "y", "x", F.round("v", 6).alias("v"))
 
 
