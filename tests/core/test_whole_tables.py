@@ -108,3 +108,57 @@ def test_blur_of_all_tiles(spark, folder):
     k /= k.sum(axis=1, keepdims=True)
     want = {(i, y, x): v for i, a in _tiles(spark, folder).items() for (y, x), v in np.ndenumerate(k @ a @ k.T)}
     assert got == pytest.approx(want, abs=1.1e-6)
+
+
+def _binary(spark, folder, above):
+    return {(r.y, r.x) for r in rasters.binary(Tables(spark, folder), above).collect()}
+
+
+DISK = ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))
+
+
+def _eroded(m):
+    return {(y, x) for y, x in m if all((y + a, x + b) in m for a, b in DISK)}
+
+
+def _dilated(m):
+    return {(y + a, x + b) for y, x in m for a, b in DISK if y + a >= 0 and 0 <= x + b < 52}
+
+
+def _components(m):
+    left, out = set(m), []
+    while left:
+        todo, found = [left.pop()], set()
+        while todo:
+            y, x = todo.pop()
+            found.add((y, x))
+            for a, b in DISK[1:]:
+                if (y + a, x + b) in left:
+                    left.remove((y + a, x + b))
+                    todo.append((y + a, x + b))
+        out.append(found)
+    return out
+
+
+def _filled(m):
+    """In an image with a free row below the mask."""
+    height = max(y for y, _ in m) + 2
+    free = {(y, x) for y in range(height) for x in range(52)} - m
+    return m.union(*(c for c in _components(free) if not any(y in (0, height - 1) or x in (0, 51) for y, x in c)))
+
+
+def test_morphology_of_high_rasters(spark, folder):
+    cells = lambda name: {(r.y, r.x) for r in catalog.QUERIES[name](spark, folder).collect()}
+    low, half, high = (_binary(spark, folder, a) for a in (0.45, 0.5, 0.6))
+    assert max(y for y, _ in high) > 70
+    assert cells("R11_opening") == _dilated(_eroded(low))
+    assert cells("R11_closing") == _eroded(_dilated(high))
+    assert cells("R10_fill_holes") == _filled(half)
+    assert _filled(half) > half
+
+
+def test_lesions_of_high_rasters(spark, folder):
+    want = [c for c in _components(_dilated(_eroded(_filled(_binary(spark, folder, 0.5))))) if len(c) > 20]
+    got = {(r.area_px, round(r.cy, 6), round(r.cx, 6)) for r in catalog.QUERIES["R16_R15_lesions"](spark, folder).collect()}
+    assert max(max(y for y, _ in c) for c in want) > 70
+    assert {(len(c), round(float(np.mean([y for y, _ in c])), 6), round(float(np.mean([x for _, x in c])), 6)) for c in want} <= got

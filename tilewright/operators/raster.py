@@ -85,9 +85,10 @@ def _counted(mask: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return d.groupBy(*keys, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def dilate(mask: DataFrame, keys: list[str], radius: int, height: int, width: int) -> DataFrame:
-    """Cells that a disk about a cell of the mask reaches, within the image."""
-    return _counted(mask, keys, radius).filter((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < height) & (F.col("x") < width)).drop("n")
+def dilate(mask: DataFrame, keys: list[str], radius: int, height: int | None, width: int) -> DataFrame:
+    """Cells that a disk about a cell of the mask reaches, within the image; without a height it is open below."""
+    d = _counted(mask, keys, radius).filter((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("x") < width))
+    return (d if height is None else d.filter(F.col("y") < height)).drop("n")
 
 
 def erode(mask: DataFrame, keys: list[str], radius: int) -> DataFrame:
@@ -95,11 +96,11 @@ def erode(mask: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return _counted(mask, keys, radius).filter(F.col("n") == F.size(disk(radius))).drop("n")
 
 
-def opening(mask: DataFrame, keys: list[str], radius: int, height: int, width: int) -> DataFrame:
+def opening(mask: DataFrame, keys: list[str], radius: int, height: int | None, width: int) -> DataFrame:
     return dilate(erode(mask, keys, radius), keys, radius, height, width)
 
 
-def closing(mask: DataFrame, keys: list[str], radius: int, height: int, width: int) -> DataFrame:
+def closing(mask: DataFrame, keys: list[str], radius: int, height: int | None, width: int) -> DataFrame:
     return erode(dilate(mask, keys, radius, height, width), keys, radius)
 
 
@@ -170,17 +171,25 @@ def components(mask: DataFrame, keys: list[str], tile: int = 1024) -> DataFrame:
     return d.select(*keys, "y", "x", top["ry"].alias("root_y"), top["rx"].alias("root_x"))
 
 
-def background(mask: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+def _bottoms(mask: DataFrame, keys: list[str], height: int | None) -> DataFrame:
+    """(keys..., _bottom) the last row of each image: without a height, the last of the mask's own."""
+    if height is not None:
+        return mask.select(*keys).distinct().withColumn("_bottom", F.lit(height - 1).cast("long"))
+    return mask.groupBy(*keys).agg(F.max("y").cast("long").alias("_bottom"))
+
+
+def background(mask: DataFrame, keys: list[str], height: int | None, width: int) -> DataFrame:
     """The cells of the image that the mask lacks."""
-    every = mask.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
+    every = _bottoms(mask, keys, height).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bottom")))).drop("_bottom")
+    every = every.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
     return every.join(mask.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
 
 
-def fill_holes(mask: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """The mask and the background components that don't reach the border."""
+def fill_holes(mask: DataFrame, keys: list[str], height: int | None, width: int) -> DataFrame:
+    """The mask and the background components that don't reach the border; without a height it lies under the mask's last row, as what is open there is no hole in a higher image either."""
     c = components(background(mask, keys, height, width), keys)
-    edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)
-    outside = c.filter(edge).select(*keys, "root_y", "root_x").distinct()
+    edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("_bottom")) | (F.col("x") == width - 1)
+    outside = c.join(_bottoms(mask, keys, height), keys).filter(edge).select(*keys, "root_y", "root_x").distinct()
     holes = c.join(outside, [*keys, "root_y", "root_x"], "left_anti").select(*keys, "y", "x")
     return mask.select(*keys, "y", "x").unionByName(holes)
 
@@ -235,7 +244,7 @@ def blur(cells: DataFrame, keys: list[str], value: str, weights: list[float]) ->
     return cells
 
 
-def lesions(heat: DataFrame, keys: list[str], threshold: float, mpp: float, height: int, width: int, opening_px: int = 1, min_axis_um: float = 100.0, min_px: int = 0, fill: bool = True) -> DataFrame:
+def lesions(heat: DataFrame, keys: list[str], threshold: float, mpp: float, height: int | None, width: int, opening_px: int = 1, min_axis_um: float = 100.0, min_px: int = 0, fill: bool = True) -> DataFrame:
     """Lesions of heat maps: (keys..., label, area_px, area_mm2, axis_um, cy, cx, score_mean, score_max).
 
     Strictly above the threshold, holes filled, opened, labelled; what is shorter than min_axis_um goes; labels from 1

@@ -100,14 +100,14 @@ DISK = "o(dy, dx) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))"
 WITH {_binary_sql(0.45)}, {DISK}, er AS (SELECT label, y + dy AS y, x + dx AS x FROM b, o GROUP BY 1, 2, 3 HAVING count(*) = 5)
 SELECT DISTINCT label, y + dy AS y, x + dx AS x FROM er, o WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 51""")
 def _(t):
-    return raster.opening(binary(t, 0.45), K, 1, 64, 52)
+    return raster.opening(binary(t, 0.45), K, 1, None, 52)
 
 
 @query("R11_closing", f"""
 WITH {_binary_sql(0.6)}, {DISK}, d AS (SELECT DISTINCT label, y + dy AS y, x + dx AS x FROM b, o WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 51)
 SELECT label, y + dy AS y, x + dx AS x FROM d, o GROUP BY 1, 2, 3 HAVING count(*) = 5""")
 def _(t):
-    return raster.closing(binary(t, 0.6), K, 1, 64, 52)
+    return raster.closing(binary(t, 0.6), K, 1, None, 52)
 
 
 LABELS = """r AS (SELECT label, y, x, y * 1000 + x AS c FROM b),
@@ -132,14 +132,14 @@ b AS (SELECT label, y, x FROM g ANTI JOIN (SELECT * FROM m WHERE y < 20) USING (
 q AS (SELECT DISTINCT label, root FROM l WHERE c // 1000 IN (0, 19) OR c % 1000 IN (0, 51))
 SELECT label, y, x FROM m WHERE y < 20 UNION ALL SELECT label, c // 1000, c % 1000 FROM l ANTI JOIN q USING (label, root)""")
 def _(t):
-    return raster.fill_holes(binary(t, 0.5).filter("y < 20"), K, 20, 52)
+    return raster.fill_holes(binary(t, 0.5), K, None, 52)
 
 
 @query("R16_R15_lesions")
 def _(t):
     """Checked against a NumPy version in the tests: axes need rotated rectangles."""
     heat = raster.finalised(sums(t)).withColumn("y", F.col("y").cast("long")).withColumn("x", F.col("x").cast("long"))
-    return raster.lesions(heat, K, 0.5, 2.0, 64, 52, opening_px=1, min_axis_um=6.0)
+    return raster.lesions(heat, K, 0.5, 2.0, None, 52, opening_px=1, min_axis_um=6.0)
 
 
 @query("R20_A22_A23_otsu", """
