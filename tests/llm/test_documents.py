@@ -137,6 +137,16 @@ def test_boilerplate_lines(spark):
     assert quality.quality_rules(same).filter("lost_words > 0").count() == 0
 
 
+def test_boilerplate_of_small_and_large_hosts(spark):
+    """A line in all of 5 texts and one in 65 of 496 come off, one in 3 of 5 and one in 30 of 496 stay."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, f"{body(i)}\nall rights reserved" + "\nread on here" * (i < 3), "small") for i in range(5)]
+    rows += [(100 + i, body(100 + i) + "\nsubscribe now please" * (i < 65) + "\nsome common phrase" * (65 <= i < 95), "large") for i in range(496)]
+    got = {r.doc_id: r.lost_words for r in quality.quality_rules(_make(spark, rows)).collect()}
+    assert got == {i: 3 for i in range(5)} | {100 + i: 3 * (i < 65) for i in range(496)}
+    assert {r.text for r in quality.clean(_make(spark, rows)).filter("source = 'small'").collect()} == {body(i) + "\nread on here" * (i < 3) for i in range(5)}
+
+
 def test_line_dedup(docs, rows):
     def windows(t):
         held = [(i, x.strip(" \t\n\x0b\x0c\r")) for i, x in enumerate((t or "").split("\n"))]

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, SPACE, words_of, written
 
-#: A line is boiler-plate above this share of its host's distinct texts, and only above MIN_DOCS of them.
-MAX_SHARE, MIN_DOCS = 0.2, 50
+#: A line is boiler-plate in more than MIN_DOCS of its host's distinct texts, if they are also more than a share that
+#: falls with their number: PER_ROOT over its square root, LEAST_SHARE at least. Of 4 texts all, of 100 16, of 500 34.
+MIN_DOCS, PER_ROOT, LEAST_SHARE = 3, 1.5, 0.01
 #: A document is depleted that loses a line and then has under MIN_LEFT words, or under MIN_LEFT_SHARE of its words.
 MIN_LEFT, MIN_LEFT_SHARE = 20, 0.4
 WINDOW = 8
@@ -31,11 +32,12 @@ def _lines(df: DataFrame) -> DataFrame:
     return flat.select("doc_id", "_digest", "host", "pos", F.xxhash64("_line").alias("_h"), F.hash("_line").alias("_h2"), (F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1).alias("line_words"))
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+def frequent_lines(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, per_root: float = PER_ROOT, least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, _h, _h2) of the lines above the limits. Equal texts of a host count as one document."""
     per = lines.groupBy("host", "_h", "_h2").agg(F.countDistinct("_digest").alias("n"))
     hosts = docs.groupBy("host").agg(F.countDistinct("_digest").alias("of"))
-    over = per.filter(F.col("n") > min_docs).join(hosts, per["host"].eqNullSafe(hosts["host"])).filter(F.col("n") > max_share * F.col("of"))
+    limit = F.greatest(per_root * F.sqrt("of"), least_share * F.col("of"))
+    over = per.filter(F.col("n") > min_docs).join(hosts, per["host"].eqNullSafe(hosts["host"])).filter(F.col("n") > limit)
     return over.select(per["host"], "_h", "_h2")
 
 
