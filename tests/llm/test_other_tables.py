@@ -109,6 +109,23 @@ def test_quotation_links(spark):
     assert quoting.linked(d.limit(0)).count() == 0
 
 
+def test_quotations_of_several_lines(spark):
+    """Two of a paragraph's three lines, two of three paragraphs, and an answer between two quotes, also with other line breaks."""
+    rows = [
+        (1, 0, "user", "One line here.\nA second one.\nAnd a third.\n\nNext paragraph.\n\nThe last one."),
+        (1, 1, "assistant", "> a SECOND one.\n> And a third.\nFirst answer\nin two lines\n> Next paragraph.\n>\n> The last one.\nSecond answer"),
+        (1, 2, "user", "Not\nquoted"),
+        (1, 3, "user", ">> A second one.\n> First answer\n> in two lines\nyes"),
+        (1, 4, "user", "> First answer in two\n> lines\nwell"),
+        (1, 5, "user", "> One line here.\n> And a third.\nno run\n> A second one.\n> Wrong line"),
+        (2, 3, "user", "> A second one.\n> And a third."),
+    ]
+    by = {(r.conv_id, r.turn): r for r in quoting.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(by) == len(rows)
+    got = {k: (r.n_quotes, r.n_linked, list(r.originals), r.reply_to) for k, r in by.items() if r.n_quotes}
+    assert got == {(1, 1): (2, 2, [0], 0), (1, 3): (2, 2, [0, 1], 1), (1, 4): (1, 1, [1], 1), (1, 5): (2, 0, [], 4), (2, 3): (1, 0, [], None)}
+
+
 def test_quotations_against_sql(spark):
     rnd = random.Random(11)
     said = [f"sentence {i} of the talk" for i in range(12)]

@@ -2,7 +2,8 @@ r"""Chat formatting by quotation linking.
 
 A line's quote level is the number of `>` marks at its front. Consecutive lines of one level form a passage. Quoted
 passages are normalised (lower case, single spaces) and hashed, and joined to the messages that said them first: to whole
-bodies, to paragraphs and to single lines, among the earlier turns of the same conversation. A message answers the
+bodies, to the lines between two quotes, to paragraphs, and to runs of any lines, among the earlier turns of the same
+conversation. Runs are only made where a line is the first of a quoted passage, and as long as that passage. A message answers the
 latest message it quotes, else the one before it. Conversations come out in reply order without their quotes. Everything
 is DataFrame expressions.
 
@@ -54,22 +55,43 @@ def _passages(lines: Column, breaks) -> Column:
     return F.aggregate(lines, start, step)
 
 
+def _worded(lines: Column) -> Column:
+    """The lines that have words, normalised."""
+    return F.filter(F.transform(lines, normal), lambda s: s != "")
+
+
 def quotes(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, passage): the quoted passages of parsed messages, normalised."""
+    """(conv_id, turn, level, passage, first, n): the quoted passages of parsed messages, normalised, with the hash of the first line and the number of lines that have words."""
     runs = F.filter(_passages(F.col("lines"), lambda x, last: x["level"] != last["level"]), lambda p: p["level"] > 0)
     q = messages.filter(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.explode(runs).alias("p"))
-    return q.select("conv_id", "turn", "p.level", normal(F.col("p.text")).alias("passage")).filter("passage != ''")
+    q = q.select("conv_id", "turn", "p.level", normal(F.col("p.text")).alias("passage"), _worded(F.split("p.text", "\n")).alias("_l")).filter("passage != ''")
+    return q.select("conv_id", "turn", "level", "passage", F.xxhash64(F.get("_l", F.lit(0))).alias("first"), F.size("_l").alias("n"))
 
 
 def originals(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, said): what parsed messages say themselves: whole bodies, paragraphs and lines, normalised, each once."""
+    """(conv_id, turn, said): what parsed messages say themselves: whole bodies, what stands between quotes, paragraphs and lines, normalised, each once."""
     own = F.filter("lines", lambda x: x["level"] == 0)
     body = F.array_join(F.transform(own, lambda x: x["text"]), "\n")
-    m = messages.select("conv_id", "turn", body.alias("body"))
-    said = F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n"))
+    between = F.transform(F.filter(_passages(F.col("lines"), lambda x, last: x["level"] != last["level"]), lambda p: p["level"] == 0), lambda p: p["text"])
+    between = F.when(F.exists("lines", lambda x: x["level"] > 0), between).otherwise(F.array().cast("array<string>"))
+    m = messages.select("conv_id", "turn", body.alias("body"), between.alias("between"))
+    said = F.concat(F.array("body"), F.col("between"), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n"))
     return m.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(said, normal))).alias("said")).filter("said != ''")
 
 
+def runs(messages: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(conv_id, turn, said): runs of a message's own lines, in order, that begin like a quoted passage of several lines and have as many."""
+    own = _worded(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["text"]))
+    m = messages.select("conv_id", "turn", own.alias("own")).filter(F.size("own") > 1)
+    starts = m.select("conv_id", "turn", F.posexplode(F.transform("own", lambda s: F.xxhash64(s))).alias("pos", "first"))
+    wanted = quoted.filter("n > 1").select(F.col("conv_id").alias("_c"), F.col("first").alias("_f"), "n").distinct()
+    at = starts.join(wanted, (F.col("conv_id") == F.col("_c")) & (F.col("first") == F.col("_f")))
+    at = at.groupBy(F.col("conv_id").alias("_c"), F.col("turn").alias("_t")).agg(F.collect_set(F.struct("pos", "n")).alias("at"))
+    m = m.join(at, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t"))).select("conv_id", "turn", "own", F.explode("at").alias("x"))
+    m = m.filter(F.col("x.pos") + F.col("x.n") <= F.size("own"))
+    return m.select("conv_id", "turn", F.array_join(F.slice("own", F.col("x.pos") + 1, F.col("x.n")), " ").alias("said"))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, passage, original): the first earlier turn that said each quoted passage, null if none did.
 
@@ -77,7 +99,7 @@ def links(messages: DataFrame) -> DataFrame:
     passage, so a line that every message says is one row.
     """
     q = quotes(messages).withColumn("h", F.xxhash64("passage"))
-    first = originals(messages).groupBy("conv_id", F.xxhash64("said").alias("h"), F.col("said")).agg(F.min("turn").alias("original"))
+    first = originals(messages).unionByName(runs(messages, q)).groupBy("conv_id", F.xxhash64("said").alias("h"), F.col("said")).agg(F.min("turn").alias("original"))
     first = first.select(F.col("conv_id").alias("_c"), F.col("h").alias("_h"), "said", "original")
     same = (q["conv_id"] == first["_c"]) & (q["h"] == first["_h"]) & (q["passage"] == first["said"]) & (first["original"] < q["turn"])
     return q.join(first, same, "left").select("conv_id", "turn", "level", "passage", "original")
