@@ -274,6 +274,14 @@ def test_near_dedup_keeps_columns(docs, rows):
     assert kept == want
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Of two texts under one id only the near copy of a smaller id goes."""
+    text = lambda c: " ".join(f"{c}{j}" for j in range(60))
+    rows = [(1, text("a"), None), (2, text("a") + " more", None), (2, text("b"), None), (3, text("c"), None)]
+    kept = jaccard.near_dedup(_make(spark, rows), k=5, percent=80).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, text("a")), (2, text("b")), (3, text("c"))]
+
+
 def test_mix(docs, rows):
     got = mixing.mix(docs).collect()
     size = lambda t: len((t or "").encode().split())
