@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: log2 of a bitmap's bits: 8 MB, whatever the input's size.
+BITS = 26
+
 #: ASCII white space, as the contracts name it: \x20 and \x09-\x0D.
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
 NOT_SPACE = "[^ \\t\\n\\x0B\\f\\r]"
@@ -30,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session, or an own one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tilewright-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -46,3 +52,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def once(c: Column) -> Column:
+    """c, which the optimizer then neither copies nor moves into what uses it: inside a lambda it would be evaluated for every element."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
+def may_hold(keys: DataFrame, col: str, bits: int = BITS) -> Callable[[Column], Column]:
+    """Whether the long column `col` of keys may have a value: no false negatives. A bitmap of fixed size, built by the executors and given to the plan as a subquery of one row; expressions only, so rows that nothing meets need not be shuffled."""
+    slot = lambda c: F.pmod(c, F.lit(1 << bits)) + 1
+    found = keys.select(slot(F.col(col)).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    empty = keys.sparkSession.range(1, ((1 << bits) >> 15) + 1).select(F.col("id").alias("b"), F.unhex(F.lit("00" * 4096)).alias("m"))
+    every = found.unionByName(empty).groupBy("b").agg(F.bitmap_or_agg("m").alias("m"))
+    whole = written(every.agg(F.sort_array(F.collect_list(F.struct("b", "m"))).alias("x")).select(F.transform("x", lambda x: x["m"]).alias("x")), "bitmap")
+
+    def test(c: Column) -> Column:
+        at = slot(c)
+        byte = F.substring(F.get(whole.scalar(), (F.bitmap_bucket_number(at) - 1).cast("int")), F.floor(F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))
+        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.bitmap_bit_position(at) % 8).cast("int")) == 1
+
+    return test
+
+
+def without(lines: Column, gone: Column) -> Column:
+    """The elements of an array but for those at the places `gone`, in time linear in both. lines is a column under once()."""
+    kept = F.array_except(F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>")), gone)
+    return F.transform(kept, lambda i: F.get(lines, i))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, written
+from .common import may_hold, once, without, written
 
 LINES = 3
 
@@ -39,15 +39,18 @@ def repeated_lines(df: DataFrame) -> DataFrame:
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_removed, text (the lines that stay)."""
+    """One row per input row: doc_id, n_lines, n_removed, text (the lines that stay). Only texts whose ids may lose lines are shuffled, the others pass."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = written(repeated_lines(docs), "repeated").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), "gone")
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64("text") == gone["_d"]), "left")
-    stay = F.array_join(F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("gone", i)), "\n")
-    return both.select(
-        "doc_id", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(stay).alias("text"),
-    )
+    touched = may_hold(gone.select(F.xxhash64("_id").alias("k")), "k")(F.xxhash64("doc_id"))
+    n_lines = F.when(F.col("text") == "", 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines")
+    rest = docs.filter(~touched).select("doc_id", n_lines, F.lit(0).cast("long").alias("n_removed"), "text")
+
+    some = docs.filter(touched)
+    some = some.join(gone, some["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64("text") == gone["_d"]), "left")
+    some = some.select("doc_id", n_lines, "text", "gone", once(F.split("text", "\n")).alias("_l"))
+    stay = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(without(F.col("_l"), F.col("gone")), "\n"))
+    return rest.unionByName(some.select("doc_id", "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), stay.alias("text")))
 
 
 ORACLE = r"""

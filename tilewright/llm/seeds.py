@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: log2 of a bitmap's bits: 8 MB, whatever the input's size.
-BITS = 26
+from .common import BITS
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
