@@ -159,6 +159,12 @@ def test_morphology_of_high_rasters(spark, folder):
 
 def test_lesions_of_high_rasters(spark, folder):
     want = [c for c in _components(_dilated(_eroded(_filled(_binary(spark, folder, 0.5))))) if len(c) > 20]
-    got = {(r.area_px, round(r.cy, 6), round(r.cx, 6)) for r in catalog.QUERIES["R16_R15_lesions"](spark, folder).collect()}
+    d = catalog.QUERIES["R16_R15_lesions"](spark, folder)
+    assert d.columns == ["label", "lesion", "area_px", "area_mm2", "axis_um", "cy", "cx", "score_mean", "score_max"]
+    every = d.collect()
+    by_key = {k: sorted(r.lesion for r in every if r.label == k) for k in {r.label for r in every}}
+    assert all(x == list(range(1, len(x) + 1)) for x in by_key.values())
+    assert all(r.area_mm2 == pytest.approx(r.area_px * 4e-6) and 0.5 < r.score_max <= 1 and r.score_mean <= r.score_max and r.axis_um >= 6 for r in every)
+    got = {(r.area_px, round(r.cy, 6), round(r.cx, 6)) for r in every}
     assert max(max(y for y, _ in c) for c in want) > 70
     assert {(len(c), round(float(np.mean([y for y, _ in c])), 6), round(float(np.mean([x for _, x in c])), 6)) for c in want} <= got

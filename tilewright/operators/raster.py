@@ -245,15 +245,18 @@ def blur(cells: DataFrame, keys: list[str], value: str, weights: list[float]) ->
 
 
 def lesions(heat: DataFrame, keys: list[str], threshold: float, mpp: float, height: int | None, width: int, opening_px: int = 1, min_axis_um: float = 100.0, min_px: int = 0, fill: bool = True) -> DataFrame:
-    """Lesions of heat maps: (keys..., label, area_px, area_mm2, axis_um, cy, cx, score_mean, score_max).
+    """Lesions of heat maps: (keys..., lesion, area_px, area_mm2, axis_um, cy, cx, score_mean, score_max).
 
-    Strictly above the threshold, holes filled, opened, labelled; what is shorter than min_axis_um goes; labels from 1
-    in raster order. An axis goes through cell centres, one cell at least.
+    Strictly above the threshold, holes filled, opened, labelled; what is shorter than min_axis_um goes; lesions count from 1
+    in raster order. Keys may not have the names of the columns that come out. An axis goes through cell centres, one cell at least.
     """
     from . import geometry
 
     if not 0 < threshold < 1:
         raise ValueError(f"the threshold must lie between 0 and 1, not {threshold}")
+    out = ["lesion", "area_px", "area_mm2", "axis_um", "cy", "cx", "score_mean", "score_max"]
+    if clash := set(keys) & {*out, "y", "x", "heat", "root_y", "root_x"}:
+        raise ValueError(f"keys clash with columns: {sorted(clash)}")
     mask = heat.filter(F.col("heat") > threshold).select(*keys, "y", "x")
     if fill:
         mask = fill_holes(mask, keys, height, width)
@@ -266,5 +269,5 @@ def lesions(heat: DataFrame, keys: list[str], threshold: float, mpp: float, heig
     h = F.coalesce("heat", F.lit(0.0))
     stats = c.groupBy(*group).agg(F.count(F.lit(1)).alias("area_px"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.avg(h).alias("score_mean"), F.max(h).alias("score_max"))
     d = stats.join(axes, group).filter((F.col("axis_um") >= min_axis_um) & (F.col("area_px") >= min_px))
-    d = d.withColumn("label", F.dense_rank().over(W.partitionBy(*keys).orderBy("root_y", "root_x")).cast("long")).withColumn("area_mm2", F.col("area_px") * mpp * mpp / 1e6)
-    return d.select(*keys, "label", "area_px", "area_mm2", "axis_um", "cy", "cx", "score_mean", "score_max")
+    d = d.withColumn("lesion", F.dense_rank().over(W.partitionBy(*keys).orderBy("root_y", "root_x")).cast("long")).withColumn("area_mm2", F.col("area_px") * mpp * mpp / 1e6)
+    return d.select(*keys, *out)

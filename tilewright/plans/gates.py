@@ -15,7 +15,7 @@ def N():
 
 
 @query("Q1_split_problems", f"""
-WITH {PATCH_SQL}, q AS (SELECT * FROM p WHERE slide_id % 500 = 0 AND NOT (split = 'test' AND tumor_frac > 0.05)),
+WITH {PATCH_SQL}, q AS (SELECT * FROM p WHERE NOT (split = 'test' AND tumor_frac > 0.05)),
 c AS (SELECT s, count(DISTINCT slide_id) FILTER (split = s) AS n, count(*) FILTER (split = s AND tumor_frac > 0.05) AS tumor FROM q, (VALUES ('train'), ('val'), ('test')) v(s) GROUP BY 1)
 SELECT CASE WHEN n = 0 THEN s || ': no slides' WHEN n < 3 THEN s || ': only ' || n || ' slides' END AS problem FROM c WHERE n < 3
 UNION ALL SELECT s || ': no tumor patches' FROM c WHERE n > 0 AND tumor = 0""")

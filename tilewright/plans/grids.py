@@ -18,7 +18,7 @@ def slides(t):
     return t.supplier.select("s_suppkey", (k % 7 * 300 + 400).alias("w"), (k % 5 * 350 + 500).alias("h"))
 
 
-SLIDES = "s AS (SELECT s_suppkey, s_suppkey % 7 * 300 + 400 AS w, s_suppkey % 5 * 350 + 500 AS h FROM supplier WHERE s_suppkey < 40)"
+SLIDES = "s AS (SELECT s_suppkey, s_suppkey % 7 * 300 + 400 AS w, s_suppkey % 5 * 350 + 500 AS h FROM supplier)"
 
 
 @query("R1_training_grid", f"""
@@ -51,8 +51,8 @@ def mask(t, key: str = "s_suppkey"):
 
 
 @query("O6_R3_window_fraction", f"""
-WITH m AS (SELECT s_suppkey AS k, y, x, ({MASK})::INT AS v FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier WHERE s_suppkey < 40), range(20) a(y), range(25) b(x)),
-w AS (SELECT s_suppkey AS k, r, c FROM supplier, (SELECT unnest(range(0, 18, 3)) AS r), (SELECT unnest(range(0, 24, 4)) AS c) WHERE s_suppkey < 40)
+WITH m AS (SELECT s_suppkey AS k, y, x, ({MASK})::INT AS v FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier), range(20) a(y), range(25) b(x)),
+w AS (SELECT s_suppkey AS k, r, c FROM supplier, (SELECT unnest(range(0, 18, 3)) AS r), (SELECT unnest(range(0, 24, 4)) AS c))
 SELECT w.k AS s_suppkey, r::BIGINT AS r, c::BIGINT AS c, round(avg(v), 6) AS frac FROM w JOIN m ON m.k = w.k AND y >= r AND y < least(r + 5, 20) AND x >= c AND x < least(c + 6, 25) GROUP BY 1, 2, 3""")
 def _(t):
     """Four look-ups in a summed-area table instead of a range join over the cells."""
@@ -63,7 +63,7 @@ def _(t):
 
 
 @query("R2_W1_gated_plan", f"""
-WITH {SLIDES}, m AS (SELECT s_suppkey AS k, y, x, ({MASK})::INT AS v FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier WHERE s_suppkey < 40), range(20) a(y), range(25) b(x)),
+WITH {SLIDES}, m AS (SELECT s_suppkey AS k, y, x, ({MASK})::INT AS v FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier), range(20) a(y), range(25) b(x)),
 x AS (SELECT s_suppkey, w, h, unnest(list_distinct(range(0, w - 256 + 1, 128) || [(w - 256)::BIGINT])) AS x0 FROM s),
 g AS (SELECT *, unnest(list_distinct(range(0, h - 256 + 1, 128) || [(h - 256)::BIGINT])) AS y0 FROM x),
 c AS (SELECT *, least(greatest(round_even(y0 / (h / 20.0::DOUBLE), 0), 0), 20) AS r0, least(greatest(round_even(x0 / (w / 25.0::DOUBLE), 0), 0), 25) AS c0,
@@ -77,7 +77,7 @@ def _(t):
 
 
 @query("A27_mask_area", f"""
-WITH m AS (SELECT s_suppkey AS k, y, x, ({MASK})::INT AS v FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier WHERE s_suppkey < 40), range(20) a(y), range(25) b(x))
+WITH m AS (SELECT s_suppkey AS k, y, x, ({MASK})::INT AS v FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier), range(20) a(y), range(25) b(x))
 SELECT k AS s_suppkey, round(avg(v), 6) AS tissue_frac, round(sum(v) * 64.0::DOUBLE / 1e6, 9) AS tissue_mm2 FROM m GROUP BY 1""")
 def _(t):
     return mask(t).groupBy("s_suppkey").agg(F.round(F.avg("v"), 6).alias("tissue_frac"), F.round(F.sum("v") * 64.0 / 1e6, 9).alias("tissue_mm2"))

@@ -98,13 +98,13 @@ DISK = "o(dy, dx) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))"
 
 @query("R11_opening", f"""
 WITH {_binary_sql(0.45)}, {DISK}, er AS (SELECT label, y + dy AS y, x + dx AS x FROM b, o GROUP BY 1, 2, 3 HAVING count(*) = 5)
-SELECT DISTINCT label, y + dy AS y, x + dx AS x FROM er, o WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 51""")
+SELECT DISTINCT label, y + dy AS y, x + dx AS x FROM er, o WHERE y + dy >= 0 AND x + dx BETWEEN 0 AND 51""")
 def _(t):
     return raster.opening(binary(t, 0.45), K, 1, None, 52)
 
 
 @query("R11_closing", f"""
-WITH {_binary_sql(0.6)}, {DISK}, d AS (SELECT DISTINCT label, y + dy AS y, x + dx AS x FROM b, o WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 51)
+WITH {_binary_sql(0.6)}, {DISK}, d AS (SELECT DISTINCT label, y + dy AS y, x + dx AS x FROM b, o WHERE y + dy >= 0 AND x + dx BETWEEN 0 AND 51)
 SELECT label, y + dy AS y, x + dx AS x FROM d, o GROUP BY 1, 2, 3 HAVING count(*) = 5""")
 def _(t):
     return raster.closing(binary(t, 0.6), K, 1, None, 52)
@@ -127,10 +127,11 @@ def _(t):
 
 
 @query("R10_fill_holes", f"""
-WITH RECURSIVE {_binary_sql(0.5).replace(", b AS (", ", m AS (")}, g AS (SELECT label, y, x FROM (SELECT DISTINCT label FROM m), range(20) a(y), range(52) c(x)),
-b AS (SELECT label, y, x FROM g ANTI JOIN (SELECT * FROM m WHERE y < 20) USING (label, y, x)), {LABELS},
-q AS (SELECT DISTINCT label, root FROM l WHERE c // 1000 IN (0, 19) OR c % 1000 IN (0, 51))
-SELECT label, y, x FROM m WHERE y < 20 UNION ALL SELECT label, c // 1000, c % 1000 FROM l ANTI JOIN q USING (label, root)""")
+WITH RECURSIVE {_binary_sql(0.5).replace(", b AS (", ", m AS (")}, t AS (SELECT label, max(y) + 1 AS last FROM m GROUP BY 1),
+g AS (SELECT label, y, x FROM (SELECT label, unnest(range(last + 1)) AS y FROM t), range(52) c(x)),
+b AS (SELECT label, y, x FROM g ANTI JOIN m USING (label, y, x)), {LABELS},
+q AS (SELECT DISTINCT label, root FROM l JOIN t USING (label) WHERE c // 1000 IN (0, last) OR c % 1000 IN (0, 51))
+SELECT label, y, x FROM m UNION ALL SELECT label, c // 1000, c % 1000 FROM l ANTI JOIN q USING (label, root)""")
 def _(t):
     return raster.fill_holes(binary(t, 0.5), K, None, 52)
 
@@ -161,7 +162,7 @@ def _(t):
 
 
 @query("R26_blur", f"""
-WITH c AS ({TILES_SQL} WHERE vec_id < 100), k(o, w) AS (VALUES (-1, 0.25::DOUBLE), (0, 0.5), (1, 0.25)),
+WITH c AS ({TILES_SQL}), k(o, w) AS (VALUES (-1, 0.25::DOUBLE), (0, 0.5), (1, 0.25)),
 h AS (SELECT vec_id, y, x + o AS x, sum(v * w) / sum(w) AS v FROM c, k WHERE x + o BETWEEN 0 AND 7 GROUP BY 1, 2, 3)
 SELECT vec_id, y + o AS y, x, round(sum(v * w) / sum(w), 6) AS v FROM h, k WHERE y + o BETWEEN 0 AND 7 GROUP BY 1, 2, 3""")
 def _(t):
