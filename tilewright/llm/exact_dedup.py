@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, may_hold, written
 
 #: A cut stands after a line's end, or between words of which one ends in a-e and the next starts with s-z; chunks
 #: have at least MIN_CHUNK characters, except a text's last, and at most MAX_CHUNK.
@@ -72,11 +72,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_dedup drops; columns as they were."""
-    gone = exact_dedup(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    """df without the rows that exact_dedup drops; columns as they were. Rows whose ids are not among the dropped ones pass without a shuffle."""
+    gone = exact_dedup(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_sha")).distinct()
     gone = written(gone, "dropped")
-    return df.join(gone, (df[id_col].eqNullSafe(gone["_gone"])) & (sha == gone["_sha"]), "left_anti")
+    touched = may_hold(gone.select(F.xxhash64("_gone").alias("k")), "k")(F.xxhash64(F.col(id_col)))
+    some = df.filter(touched)
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    return df.filter(~touched).unionByName(some.join(gone, some[id_col].eqNullSafe(gone["_gone"]) & (sha == gone["_sha"]), "left_anti"))
 
 
 ORACLE = """

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE
+from .common import NOT_SPACE, once
 
 #: Weights of the sources in code point order, repeating; the share of all words wanted; repeats of a source at most.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
@@ -132,7 +132,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"([ \\t\\n\\x0B\\f\\r]*+)({NOT_SPACE}++)"), F.lit(0))
     whole = (F.size("_take") > 0) & (F.aggregate("_take", F.lit(0), lambda a, x: a + x["n"]) == F.col("size"))
     cut = F.array_join(F.flatten(F.transform("_take", lambda x: F.slice("_pieces", x["at"] + 1, x["n"]))), "")
-    both = both.withColumn("_pieces", F.when(~whole, pieces)).withColumn("_out", F.when(whole, F.col(text_col)).otherwise(cut))
+    both = both.withColumn("_pieces", once(F.when(~whole, pieces))).withColumn("_out", once(F.when(whole, F.col(text_col)).otherwise(cut)))
     both = both.withColumn(text_col, F.col("_out"))
     if chars_col in df.columns:
         both = both.withColumn(chars_col, F.length("_out").cast("long"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, words_of, written
+from .common import NOT_SPACE, SPACE, may_hold, once, without, words_of, written
 
 #: A line is boiler-plate in more than MIN_DOCS of its host's distinct texts, if they are also more than a share that
 #: falls with their number: PER_ROOT over its square root, LEAST_SHARE at least. Of 4 texts all, of 100 16, of 500 34.
@@ -99,12 +99,16 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", **limits) -> DataFrame:
-    """df without rejected rows and without boiler-plate lines; columns as they were. The base rules need the row alone, so texts only meet the written table of lost lines, in a broadcast if it is small."""
+    """df without rejected rows and without boiler-plate lines; columns as they were. The base rules need the row alone, so only texts whose ids may lose lines meet the written table of lost lines."""
     lost = written(removed_lines(df, id_col, text_col, host_col, **limits), "lost")
-    d = _with_lost(base_rules(df, id_col, text_col, carry=True).filter("not base_failed"), lost)
+    touched = may_hold(lost.select(F.xxhash64("doc_id").alias("k")), "k")(F.xxhash64(F.col(id_col)))
+    base = lambda rows: base_rules(rows, id_col, text_col, carry=True).filter("not base_failed")
+    rest = base(df.filter(~touched)).select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+
+    d = _with_lost(base(df.filter(touched)), lost)
     d = d.filter(~_depleted(F.col("n_words"), F.col("lost_words")))
     some, text = F.size("lost_lines") > 0, F.col(f"_row.`{text_col}`")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains("lost_lines", i)), "\n")
-    out = d.withColumn("_new", F.when(some, left).otherwise(text))
+    d = d.withColumn("_lines", once(F.split(text, "\n")))
+    out = d.withColumn("_new", once(F.when(some, F.array_join(without(F.col("_lines"), F.col("lost_lines")), "\n")).otherwise(text)))
     put = {text_col: F.col("_new"), chars_col: F.when(some, F.length("_new").cast("long")).otherwise(F.col(f"_row.`{chars_col}`"))}
-    return out.select(*[put[c].alias(c) if c in put else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+    return rest.unionByName(out.select(*[put[c].alias(c) if c in put else F.col(f"_row.`{c}`").alias(c) for c in df.columns]))
