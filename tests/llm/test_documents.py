@@ -257,6 +257,37 @@ def test_jaccard_frequent_token_first(spark, monkeypatch):
     assert got == {1: 1, 2: 1} | {10 + i: 10 + i for i in range(5)}
 
 
+@pytest.mark.parametrize("at_once", [0, 4])
+def test_jaccard_copies_under_the_threshold(spark, monkeypatch, at_once):
+    """Copies of one text that mostly don't link with each other, nor with the text: refined postings find the few that do."""
+    rnd = random.Random(5)
+    monkeypatch.setattr(jaccard, "RARE", 3)
+    monkeypatch.setattr(jaccard, "PAIRS", at_once)
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    base, rows = [f"w{rnd.randrange(10**6)}" for _ in range(120)], []
+    places = [rnd.sample(range(120), 4) for _ in range(25)]
+    for i in range(70):
+        w = list(base)
+        for j in places[i % 25] if i % 3 else rnd.sample(range(120), 4):
+            w[j] = f"e{rnd.randrange(3 if i % 2 else 10**6)}"
+        rows.append((i, " ".join(w[: 120 - i % 5]), None))
+    for k, percent in ((4, 85), (5, 80)):
+        want = _components(rows, k, percent)
+        got = jaccard.jaccard_components(_make(spark, rows), k=k, percent=percent)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+        assert 1 < len({c for _, _, c in want}) < 70
+
+
+def test_clashing_nodes_are_settled(spark):
+    """Sets that share a node get nodes of their own, which follow from their digests alone; the rest keep theirs."""
+    rows = [(1, 7, 70), (2, 7, 71), (3, 7, 70), (4, 8, 80), (5, None, None)]
+    every = spark.createDataFrame([(i, 0, 3, n, c, b"") for i, n, c in rows], "doc_id bigint, digest bigint, n bigint, node bigint, check bigint, bits binary")
+    out, nodes, clashes = jaccard.settle(every, jaccard.nodes_of(every))
+    got = {r.doc_id: r.node for r in out.collect()}
+    assert clashes == {7} and got[1] == got[3] == jaccard.settled(7, 70, clashes) != got[2] == jaccard.settled(7, 71, clashes)
+    assert got[4] == 8 and got[5] is None and nodes.count() == 3
+
+
 def test_most_groups(spark):
     for percent in (80, 85):
         got = spark.range(1, 20_000).select("id", jaccard.most_groups(F.col("id"), percent).alias("m")).collect()

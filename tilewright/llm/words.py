@@ -15,7 +15,7 @@ import pyarrow as pa
 from .seeds import mixed
 
 #: Bytes that are hashed at a time; a longer text goes in pieces cut at white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _STEP, _BACK = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
