@@ -19,11 +19,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces of up to SHORT characters are remembered: a worker has two generations of REMEMBERED each.
-SHORT, REMEMBERED = 40, 400_000
+#: Pieces of up to SHORT characters are remembered: a worker has two generations of REMEMBERED each, some 60 MB at most.
+SHORT, REMEMBERED = 24, 200_000
+#: Bytes of text, and ids, that a worker takes at a time; a longer row goes alone.
+TEXT, IDS = 1 << 22, 1 << 20
 _NONE = 1 << 62
 pack = partial(array, "i")
 
@@ -60,15 +63,16 @@ class SegmentTree:
     def least(self) -> int:
         """The place of the leftmost minimum, or -1 if no place has a rank."""
         top = self.tree[1]
-        return -1 if top == _NONE else top % self.size
+        return -1 if top == _NONE else top & (self.size - 1)
 
     def put(self, place: int, rank: int | None) -> None:
         tree, i = self.tree, self.size + place
-        tree[i] = _NONE if rank is None else rank * self.size + place
+        least = tree[i] = _NONE if rank is None else rank * self.size + place
         while i > 1:
+            other = tree[i ^ 1]
+            if other < least:
+                least = other
             i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a < b else b
             if tree[i] == least:
                 break
             tree[i] = least
@@ -78,22 +82,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    n = len(piece)
+    n, get = len(piece), ranks.get
     end = list(range(1, n + 1))  # of the token that starts at a live place
     before = list(range(-1, n - 1))  # the live place before
-    tree = SegmentTree([ranks.get(piece[i : i + 2]) for i in range(n - 1)])
-    while (i := tree.least()) >= 0:
+    tree = SegmentTree([get(piece[i : i + 2]) for i in range(n - 1)])
+    put, nodes, mask = tree.put, tree.tree, tree.size - 1
+    while (top := nodes[1]) != _NONE:
+        i = top & mask
         j = end[i]  # the token at j joins the one at i
         stop = end[i] = end[j]
-        if j < n - 1:
-            tree.put(j, None)
+        if j < n - 1 and nodes[mask + 1 + j] != _NONE:
+            put(j, None)
         if stop < n:
             before[stop] = i
-            tree.put(i, ranks.get(piece[i : end[stop]]))
+            put(i, get(piece[i : end[stop]]))
         else:
-            tree.put(i, None)
+            put(i, None)
         if (p := before[i]) >= 0:
-            tree.put(p, ranks.get(piece[p:stop]))
+            put(p, get(piece[p:stop]))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -144,9 +150,8 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
 
 
-def _in_bounds(batch: pa.RecordBatch, most: int = 1 << 25) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `most` bytes of text each, and one row at least."""
-    sizes = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)), dtype=np.int64, count=batch.num_rows)
+def _in_bounds(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` of the rows' sizes each, and one row at least."""
     cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
     for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
         if b > a:
@@ -161,7 +166,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shipped, pattern)
         for whole in batches:
-            for batch in _in_bounds(whole):
+            for batch in _in_bounds(whole, pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), TEXT):
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists([enc.ids(t) if t else b"" for t in batch.column(1).to_pylist()])], ["doc_id", "ids"])
 
     return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -175,8 +180,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shipped, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in _in_bounds(batch, pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), IDS):
                 texts = [enc.text(x.values.to_numpy()) if x.is_valid else b"" for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
