@@ -134,7 +134,7 @@ def test_fill_holes_and_small(spark):
 def test_lesions_keep_long_ones(spark):
     heat = spark.createDataFrame([("s", y, x, 0.9 if (2 <= y < 5 and 2 <= x < 32) or (20 <= y < 23 and 10 <= x < 13) else 0.0) for y in range(30) for x in range(40)], "k string, y long, x long, heat double")
     rows = raster.lesions(heat, ["k"], 0.5, 2.0, 30, 40, opening_px=1, min_axis_um=20.0).collect()
-    assert len(rows) == 1 and rows[0].label == 1 and rows[0].axis_um == pytest.approx(58.0, abs=2.1)
+    assert len(rows) == 1 and rows[0].lesion == 1 and rows[0].axis_um == pytest.approx(58.0, abs=2.1)
     with pytest.raises(ValueError):
         raster.lesions(heat, ["k"], 1.5, 2.0, 30, 40)
 

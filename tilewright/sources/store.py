@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written and read back: lineage ends here, and a lost executor costs no recomputation. The folder is the session's spark.checkpoint.dir, or an own one where that is unset."""
+    """df written and read back: lineage ends here, and a lost executor costs no recomputation. The folder is the session's spark.checkpoint.dir, or an own one where that is unset in a local session."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tilewright-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
