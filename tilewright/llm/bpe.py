@@ -23,10 +23,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces of up to SHORT characters are remembered: a worker has two generations of REMEMBERED each, some 60 MB at most.
-SHORT, REMEMBERED = 24, 200_000
+from .common import small_batches
+
+#: Pieces of up to SHORT characters are remembered: a worker has two generations of REMEMBERED each, some 50 MB at most.
+SHORT, REMEMBERED = 24, 131_072
 #: Bytes of text, and ids, that a worker takes at a time; a longer row goes alone.
-TEXT, IDS = 1 << 22, 1 << 20
+TEXT, IDS = 1 << 20, 1 << 18
+#: Characters from which on a text's pieces are taken one by one, without a list of them all.
+LONG = 1 << 16
 _NONE = 1 << 62
 pack = partial(array, "i")
 
@@ -116,8 +120,8 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers."""
-        known, out = self.known, []
-        for piece in (self.plain if text.isascii() else self.full).findall(text):
+        known, out, split = self.known, bytearray(), self.plain if text.isascii() else self.full
+        for piece in split.findall(text) if len(text) < LONG else (m.group() for m in split.finditer(text)):
             got = known.get(piece)
             if got is None:
                 got = self.older.get(piece) or pack(merge(piece.encode(), self.ranks)).tobytes()
@@ -125,8 +129,8 @@ class Encoder:
                     if len(known) >= REMEMBERED:
                         self.older, self.known = known, (known := {})
                     known[piece] = got
-            out.append(got)
-        return b"".join(out)
+            out += got
+        return bytes(out)
 
     def text(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -160,6 +164,7 @@ def _in_bounds(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of each row's text. The rank file, under a megabyte, is read by the driver and broadcast."""
+    small_batches(df.sparkSession)
     with open(ranks_path, "rb") as f:
         shipped = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -174,6 +179,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, decoded): the bytes that each row's ids stand for; null ids are none."""
+    small_batches(df.sparkSession)
     with open(ranks_path, "rb") as f:
         shipped = df.sparkSession.sparkContext.broadcast(f.read())
 

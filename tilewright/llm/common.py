@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: log2 of a bitmap's bits: 8 MB, whatever the input's size.
 BITS = 26
+#: Bytes of an Arrow batch of whole texts or sets, about; a longer row goes alone.
+BATCH = 1 << 22
 
 #: ASCII white space, as the contracts name it: \x20 and \x09-\x0D.
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
@@ -50,6 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold about BATCH bytes, if the session lets them hold more: executors and workers keep several of whole texts or sets at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
