@@ -81,6 +81,36 @@ def test_licenses(spark):
     assert license_scan.license_scan(d.limit(0)).count() == 0
 
 
+def test_license_notices_against_a_search():
+    """A notice's label is found just where its words stand consecutively, and its score is then 1."""
+    templates = license_scan.with_notices({})
+    index = license_scan.Index(templates, 10, {b"license": 5, b"the": 9, b"under": 7, b"by": 8})
+    bodies = [body.split() for body, _ in templates.values()]
+    draw = random.Random(5)
+    words = sorted({w for b in bodies for w in b}) + ["x"]
+    hits = 0
+    for _ in range(400):
+        text = []
+        for _ in range(draw.randrange(12)):
+            body = list(draw.choice(bodies))
+            if draw.random() < 0.5:
+                body[draw.randrange(len(body))] = draw.choice(words)
+            text += body + draw.choices(words, k=draw.randrange(4))
+        line = f" {' '.join(text)} "
+        want = {k.split("/")[0] for k, (body, _) in templates.items() if f" {body} " in line}
+        got = index.scan([w.encode() for w in text])
+        assert set(got) == want and all(share == 1 for share, _ in got.values())
+        hits += len(want)
+    assert hits > 400
+
+
+def test_short_license_notices(spark):
+    rows = [(1, "Released under the MIT License."), (2, "Licensed under CC BY-NC 4.0"), (3, "// SPDX-License-Identifier: Apache-2.0"), (4, "This work is licensed under the GNU General Public License, version 3"), (5, "released under pressure, the license of mit")]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(1, 6)] == ["mit", "cc-by-nc", "apache", "gpl", ""]
+    assert [got[i].score for i in range(1, 6)] == [1, 1, 1, 1, 0] and got[2].n_base == 0
+
+
 def test_quotation_links(spark):
     rows = [
         (1, 0, "user", "First question here.\n\nSecond   paragraph of it."),

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The phrases of the base rule and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -36,8 +38,23 @@ TEMPLATES = {
     "unlicense": ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software released into the public domain",)),
     "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
 }
-#: Rarest words that a template posts; share of them that must vote for a start; words that a start may drift.
-POSTED, VOTES, DRIFT = 8, 0.5, 3
+#: How short notices name a licence, what stands before the names, and identifiers after SPDX-License-Identifier.
+NAMES = {
+    "mit": ("the mit license",), "apache": ("the apache license",), "gpl": ("the gnu general public license",), "lgpl": ("the gnu lesser general public license",), "agpl": ("the gnu affero general public license",),
+    "bsd": ("the bsd license", "a bsd license"), "mpl": ("the mozilla public license",), "isc": ("the isc license",), "cc-by": ("cc by 3", "cc by 4"), "cc-by-sa": ("cc by sa",), "cc-by-nc": ("cc by nc",), "cc-by-nd": ("cc by nd",),
+}
+OPENINGS = ("licensed under", "released under", "distributed under", "available under")
+IDENTIFIERS = {"mit": "mit", "apache": "apache 2 0", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "bsd": "bsd", "mpl": "mpl", "isc": "isc", "unlicense": "unlicense", "cc-by": "cc by 4", "cc-by-sa": "cc by sa", "cc-by-nc": "cc by nc", "cc-by-nd": "cc by nd"}
+
+
+def with_notices(templates: dict) -> dict:
+    """The templates and those of short notices, each of them a mandatory phrase as a whole. What stands before the first / of a template's name is its label."""
+    said = [(label, f"{o} {n}") for label, names in NAMES.items() for n in names for o in OPENINGS] + [(label, f"spdx license identifier {i}") for label, i in IDENTIFIERS.items()]
+    return templates | {f"{label}/{body}": (body, (body,)) for label, body in said}
+
+
+#: Rarest words that a template posts, of one that is short half of its words but LEAST of them; share of them that must vote for a start; words that a start may drift.
+POSTED, LEAST, VOTES, DRIFT = 8, 3, 0.5, 3
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -77,7 +94,7 @@ class Index:
         self.needed, self.keys = {}, {}
         for k, (_, phrases) in templates.items():
             words = self.bodies[k]
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:posted]
+            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[: max(LEAST, min(posted, len(set(words)) // 2))]
             for w in rare:
                 for i, x in enumerate(words):
                     if x == w:
@@ -87,7 +104,7 @@ class Index:
             self.keys[k] = [(p.encode().split(), (b" " + at[p] + b" ").split(b" " + p.encode() + b" ")[0].count(b" ")) for p in phrases]
 
     def scan(self, words: list[bytes]) -> dict[str, tuple[float, int]]:
-        """(agreement, start) of each template that is verified: the share of its words that stand at their place."""
+        """(agreement, start) of each label with a verified template: the largest share of a template's words that stand at their place."""
         postings, votes = self.postings, defaultdict(set)
         for i, w in enumerate(words):
             if w in postings:
@@ -102,8 +119,9 @@ class Index:
                 continue
             body = self.bodies[k]
             share = sum(1 for j, w in enumerate(body) if w in words[max(0, start + j - DRIFT) : max(0, start + j + DRIFT + 1)]) / len(body)
-            if k not in out or share > out[k][0]:
-                out[k] = share, max(start, 0)
+            label = k.split("/")[0]
+            if label not in out or share > out[label][0]:
+                out[label] = share, max(start, 0)
         return out
 
     def verified(self, words: list[bytes], k: str, start: int) -> bool:
@@ -123,8 +141,10 @@ def base_places(words: list[bytes], phrases: dict[str, str] = BASE) -> list[tupl
     return sorted(out)
 
 
-def license_scan(df: DataFrame, templates: dict = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(df: DataFrame, templates: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label, start, agreement)."""
+    templates = with_notices(TEMPLATES) if templates is None else templates
+    small_batches(df.sparkSession)
     n, found = document_frequencies(df, templates, text_col)
     index = Index(templates, n, found)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("matches", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("agreement", pa.float64())])))])
