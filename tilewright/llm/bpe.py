@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-#: Pieces of up to SHORT characters are remembered: a worker has two generations of REMEMBERED each, some 50 MB at most.
-SHORT, REMEMBERED = 24, 131_072
+#: Pieces of up to SHORT characters are remembered when they come again: a worker has two generations of REMEMBERED each, some 50 MB at most, and MET bytes for which came once.
+SHORT, REMEMBERED, MET = 24, 174_000, 1 << 20
 #: Bytes of text, and ids, that a worker takes at a time; a longer row goes alone.
 TEXT, IDS = 1 << 20, 1 << 18
 #: Characters from which on a text's pieces are taken one by one, without a list of them all.
@@ -117,6 +117,7 @@ class Encoder:
         self.tokens = {r: t for t, r in ranks.items()}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.met = bytearray(MET)
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers."""
@@ -124,10 +125,13 @@ class Encoder:
         for piece in split.findall(text) if len(text) < LONG else (m.group() for m in split.finditer(text)):
             got = known.get(piece)
             if got is None:
-                got = self.older.get(piece) or pack(merge(piece.encode(), self.ranks)).tobytes()
-                if len(piece) <= SHORT:
+                got, slot = self.older.get(piece), hash(piece) % MET
+                new = got is None and not self.met[slot]
+                if got is None:
+                    got, self.met[slot] = pack(merge(piece.encode(), self.ranks)).tobytes(), 1
+                if len(piece) <= SHORT and not new:  # most pieces come once
                     if len(known) >= REMEMBERED:
-                        self.older, self.known = known, (known := {})
+                        self.older, self.known, self.met = known, (known := {}), bytearray(MET)
                     known[piece] = got
             out += got
         return bytes(out)
