@@ -1,7 +1,11 @@
 """Document operators against brute force on small tables that hold every odd case."""
 
+import glob
 import hashlib
+import os
 import random
+import tempfile
+import time
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -9,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.llm import exact_dedup, jaccard, line_dedup, mixing, quality, substring_dedup
+from tilewright.llm.common import shared_dir, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, key string, node long, token long"
 
@@ -224,6 +229,26 @@ def test_jaccard(docs, rows, k, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _components(rows, k, percent)
 
 
+def test_near_dedup_takes_back_its_tables(spark, docs):
+    """What stays in the shared folder is what the result reads."""
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    d = jaccard.near_dedup(docs, k=5, percent=80)
+    left = sorted(x.rpartition("-")[0] for x in set(os.listdir(folder)) - before)
+    assert left == ["bitmap", "near-copies"] and d.count() > 0
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*"))
+    before = files()
+    d = written(spark.range(100_000).groupBy((F.col("id") % 50_000).alias("k")).count(), "sums")
+    for _ in range(50):  # executors delete them in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and d.count() == 50_000
+
+
 def test_jaccard_chains_and_frequent_tokens(spark, monkeypatch):
     """Groups of near copies beyond RARE, chained by small steps, so combinations and pairs across components matter."""
     rnd = random.Random(8)
