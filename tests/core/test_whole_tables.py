@@ -71,6 +71,14 @@ def test_gated_plan(spark, folder):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("name", ["O6_R3_window_fraction", "R2_W1_gated_plan"])
+def test_nothing_exploded_is_broadcast(spark, folder, name):
+    """The planner takes cells and windows for as few rows as there are slides; a broadcast of them fills the driver."""
+    d = catalog.QUERIES[name](spark, folder)
+    assert d.count() > N_SUPPLIERS
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mask_area(spark, folder):
     got = {r.s_suppkey: r.tissue_frac for r in catalog.QUERIES["A27_mask_area"](spark, folder).collect()}
     assert got == pytest.approx({k: _mask(k).mean() for k in range(1, N_SUPPLIERS + 1)}, abs=1e-6)

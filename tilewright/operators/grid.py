@@ -45,7 +45,10 @@ def summed_area(cells: DataFrame, keys: list[str], value: str, y: str = "y", x:
 
 
 def window_fractions(windows: DataFrame, sat: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """windows (columns r0, c0, r1, c1 in mask cells) with frac: four look-ups each, as one join and one aggregation; 0 for an empty box."""
+    """windows (columns r0, c0, r1, c1 in mask cells) with frac: four look-ups each, as one join and one aggregation; 0 for an empty box.
+
+    Both sides come from explode(), whose rows the planner does not count: left to itself it broadcasts all of sat.
+    """
     clip = lambda c, top: F.least(F.greatest(F.bround(c).cast("long"), F.lit(0)), F.lit(top))
     w = windows
     for c, top in (("r0", height), ("c0", width), ("r1", height), ("c1", width)):
@@ -53,7 +56,7 @@ def window_fractions(windows: DataFrame, sat: DataFrame, keys: list[str], height
     corner = lambda r, c, sign: F.struct(F.col(r).alias("y"), F.col(c).alias("x"), F.lit(sign).alias("sign"))
     names = windows.columns
     look = w.withColumn("_k", F.explode(F.array(corner("r1", "c1", 1), corner("r0", "c1", -1), corner("r1", "c0", -1), corner("r0", "c0", 1)))).select(*names, F.col("_k.y").alias("y"), F.col("_k.x").alias("x"), F.col("_k.sign").alias("sign"))
-    total = look.join(sat, [*keys, "y", "x"], "left").groupBy(*names).agg(F.sum(F.coalesce("sat", F.lit(0)) * F.col("sign")).alias("_t"))
+    total = look.join(sat.hint("merge"), [*keys, "y", "x"], "left").groupBy(*names).agg(F.sum(F.coalesce("sat", F.lit(0)) * F.col("sign")).alias("_t"))
     area = (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))
     return total.select(*names, F.when((F.col("r1") > F.col("r0")) & (F.col("c1") > F.col("c0")), F.col("_t") / area).otherwise(0.0).alias("frac"))
 
@@ -61,7 +64,7 @@ def window_fractions(windows: DataFrame, sat: DataFrame, keys: list[str], height
 def plan(slides: DataFrame, keys: list[str], w: Column, h: Column, downsample: Column, sat: DataFrame, mask: tuple[int, int], w0: Column, h0: Column, size: int = 512, stride: int = 256, min_tissue: float = 0.02, far_edge: bool = True) -> DataFrame:
     """The grid with each window's tissue share, gated; the mask maps to level 0 by its own shape."""
     sizes = slides.select(*keys, w0.cast("double").alias("_w0"), h0.cast("double").alias("_h0"), (downsample * size).alias("_e"))
-    g = grid(slides, keys, w, h, downsample, size, stride, far_edge).join(sizes, keys)
+    g = grid(slides, keys, w, h, downsample, size, stride, far_edge).hint("merge").join(sizes, keys)  # explode() again
     mh, mw = mask
     sx, sy = F.col("_w0") / mw, F.col("_h0") / mh
     g = g.select(*keys, "x0", "y0", (F.col("y0") / sy).alias("r0"), (F.col("x0") / sx).alias("c0"), ((F.col("y0") + F.col("_e")) / sy).alias("r1"), ((F.col("x0") + F.col("_e")) / sx).alias("c1"))
