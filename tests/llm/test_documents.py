@@ -8,6 +8,7 @@ import tempfile
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -303,6 +304,56 @@ def test_jaccard_copies_under_the_threshold(spark, monkeypatch, at_once):
         assert 1 < len({c for _, _, c in want}) < 70
 
 
+def test_jaccard_counts_prefixes_of_differences(spark, monkeypatch):
+    """Nodes far from their hub differ from it in more tokens than they have: only the prefixes are looked at one by one, and the links are found."""
+    rnd = np.random.default_rng(7)
+    draw = lambda n: rnd.integers(0, 2**64, n, dtype=np.uint64)
+    hub, all_have, pool = draw(800), draw(20), draw(300)
+    sets = {0: np.sort(np.concatenate([hub, all_have]))}
+    for i in range(1, 41, 2):  # pairs of which the first ten link; all draw on one pool, which others share
+        x = np.concatenate([all_have, rnd.choice(pool, 180, replace=False)])
+        fresh = draw(4 if i <= 20 else 60)
+        sets |= {i: np.sort(x), i + 1: np.sort(np.concatenate([x[: len(x) - len(fresh)], fresh]))}
+    tables = spark.createDataFrame([(i, i, len(x), bytearray(x.tobytes())) for i, x in sets.items()], "node bigint, root bigint, n bigint, tokens binary")
+    found = jaccard.gaps(tables.filter("node > 0").select(F.lit(0).cast("bigint").alias("hub"), "node", "root", "n"), tables, 85)
+    frames = {}
+    monkeypatch.setattr(jaccard, "written", lambda df, name: frames.setdefault(name, written(df, name)))
+    postings = jaccard.refined(found, 85)
+    a, b = postings.select("key", F.col("node").alias("a")), postings.select(F.col("key").alias("k"), F.col("node").alias("b"))
+    met = {(r.a, r.b) for r in a.join(b, F.col("key") == F.col("k")).filter("a < b").select("a", "b").distinct().collect()}
+    link = {(i, j) for i in range(1, 41) for j in range(i + 1, 41) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - c)}
+    assert len(link) >= 10 and link <= met
+    assert frames["differences"].count() < 0.3 * len(np.unique(np.concatenate([np.setxor1d(x, sets[0]) for i, x in sets.items() if i])))
+
+
+def test_windows_of_sizes(spark):
+    """Sizes that may link share a window; a size is in two."""
+    for percent in (50, 80, 85, 100):
+        keys = defaultdict(set)
+        for r in jaccard._windowed(spark.range(1, 2000).select(F.lit(5).alias("key"), F.col("id").alias("n")), percent).collect():
+            keys[r.n].add(r.key)
+        assert all(len(x) == 2 for x in keys.values())
+        assert all(keys[a] & keys[b] for a in range(1, 2000) for b in range(a, min(1999, a * 100 // percent) + 1))
+        assert not keys[10] & keys[100]
+
+
+def test_jaccard_refines_sizes_apart(spark, monkeypatch):
+    """Beginnings of one text that differ in size are not refined together."""
+    rnd = random.Random(11)
+    monkeypatch.setattr(jaccard, "RARE", 3)
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    text, rows = [f"p{j}" for j in range(1500)], []
+    for i in range(16):
+        n = int(60 * 1.22**i)
+        rows += [(10 * i + j, " ".join(text[:n] + [f"w{rnd.randrange(10**6)}" for _ in range(n // 10)]), None) for j in range(2)]
+    rows += [(500 + i, t + " x", None) for i, t, _ in rows[::6]]
+    found, able = [], jaccard.able
+    monkeypatch.setattr(jaccard, "able", lambda groups, *a: (found.append(groups.count()), able(groups, *a))[1])
+    got = jaccard.jaccard_components(_make(spark, rows), k=4, percent=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _components(rows, 4, 85)
+    assert sum(found) < 12, found
+
+
 def test_clashing_nodes_are_settled(spark):
     """Sets that share a node get nodes of their own, which follow from their digests alone; the rest keep theirs."""
     rows = [(1, 7, 70), (2, 7, 71), (3, 7, 70), (4, 8, 80), (5, None, None)]
