@@ -326,6 +326,26 @@ def test_jaccard_counts_prefixes_of_differences(spark, monkeypatch):
     assert frames["differences"].count() < 0.3 * len(np.unique(np.concatenate([np.setxor1d(x, sets[0]) for i, x in sets.items() if i])))
 
 
+def test_jaccard_counts_out_what_a_full_bitmap_lets_through(spark, monkeypatch):
+    """Where a bitmap is so full that it holds every token, only shared ones of nodes that may link are kept, and no shuffle of all tokens stays behind it."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(60)) for _ in range(30)]
+    texts += [f"{texts[0]} more", " ".join([f"w{r.randrange(10**9)}" for _ in range(50)] + texts[1].split()[:6])]
+    kept, shuffled, write = [], [], jaccard.written
+
+    def full(keys, col):
+        shuffled.append("Exchange" in keys._jdf.queryExecution().executedPlan().toString())
+        return b"\xff" * 512
+
+    monkeypatch.setattr(jaccard, "bitmap", full)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    monkeypatch.setattr("tilewright.llm.common.written", lambda df, name: kept.append((name, df.count())) or write(df, name))
+    out = {x.doc_id: x.component_id for x in jaccard.jaccard_components(df, k=4, percent=85).collect()}
+    assert out == {i: 0 if i == 30 else i for i in range(32)}
+    assert shuffled and not any(shuffled)
+    assert 0 < dict(kept)["entries"] <= 2 * 60
+
+
 def test_windows_of_sizes(spark):
     """Sizes that may link share a window; a size is in two."""
     for percent in (50, 80, 85, 100):
